@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, classlm, langid, packing, pii, quality, sharding, simhash, tokenfile
+from . import ann, classlm, langid, mixing, packing, pii, quality, sharding, simhash, tokenfile
 from .common import table
 
 #: Tokenizer files by name; the folder is that of the ``public_tokenizers`` package unless a path is given.
@@ -41,6 +41,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", F.col("_n_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_epoch").alias("epoch"), F.col("_position").alias("position"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), end_id=2)
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_file": op3_token_file,
     "op4_class_lm": op4_class_lm,
     "op5_pii": op5_pii,
+    "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
     "op9_neighbours": op9_neighbours,
