@@ -53,9 +53,9 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], percent
         rows = np.zeros((0, BLOCK), np.uint32)
     least = rows.min(1) if n else np.zeros(0, np.uint32)
     gaps = rows - least[:, None]
-    need = _bits(gaps)
-    width = np.sort(need, 1)[:, int(np.ceil(percentile * BLOCK)) - 1]
-    outlier = need > width[:, None]
+    at = int(np.ceil(percentile * BLOCK)) - 1
+    width = _bits(np.partition(gaps, at, 1)[:, at])
+    outlier = (gaps.astype(np.uint64) >> width[:, None]) > 0
     count = outlier.sum(1).astype(np.int64)
     packed = width.astype(np.int64) * (BLOCK // 8)
     size = packed + 5 * count
@@ -185,23 +185,25 @@ def with_bases(manifest: DataFrame) -> DataFrame:
     return inner.join(before, "part").select("file", (F.col("before") + F.col("within")).alias("base"))
 
 
-def read(spark, folder: str, manifest: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files."""
+def read(folder: str, manifest: DataFrame) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files. Only names and bases are dealt out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for raw, base in zip(batch.column("content"), batch.column("base").to_pylist()):
-                found = TokenFile(raw.as_py())
-                ids = found.ids().astype("<u4")
+            for name, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist()):
+                with store.open_input_stream(f"{path}/{name}") as file:
+                    found = TokenFile(file.read())
+                ids = found.ids().astype("<u4", copy=False)
                 ends = np.cumsum(found.lengths)
                 begins = ends - found.lengths
                 crcs = [zlib.crc32(ids[a:b]) for a, b in zip(begins.tolist(), ends.tolist())]
                 columns = [pa.array(found.doc_ids, pa.int64()), pa.array(begins + base), pa.array(found.lengths), pa.array(crcs, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return files.join(with_bases(manifest), "file").select("content", "base").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return with_bases(manifest).repartition("file").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
@@ -209,4 +211,4 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     spark = docs.sparkSession
     folder = shared_path(spark, "tokens")
     manifest = write(docs, folder, tokenizer, end_id)
-    return read(spark, folder, manifest)
+    return read(folder, manifest)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from functools import lru_cache
 
 #: Letters, white space and other characters whose class is certain in the cutting patterns.
@@ -21,8 +22,10 @@ _BYTE_PIECES = re.compile(
 _WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \t-\r0-9{_LETTERS}]+")
 #: A space before other white space; such texts are cut by the pattern alone.
 _LOOSE = ("  ", " \n", " \t", " \r", " \x0b", " \x0c")
-#: Most chunks and pieces that an encoder remembers (about 200 bytes each); it forgets all when full.
+#: Chunks in a generation of an encoder's memory (about 200 bytes each). A full one is kept as the old one, from which chunks
+#: that occur again move on; the old one before it is forgotten.
 REMEMBERED = 300_000
+_SPACE_MARK = "Ġ"  # the byte-level alphabet's space
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -44,6 +47,7 @@ class Encoder:
         self.words = self.tokenizer.normalizer is not None
         self._alphabet = _byte_alphabet()
         self._chunks: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
         # Guards against a tokenizer of another kind: it is then asked for whole texts.
         probe = "It's a  probe:\nÉté (2024), naïve words' end. "
@@ -59,24 +63,40 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
-        ids = self._pieces.get(piece)
-        if ids is None:
-            if len(self._pieces) >= REMEMBERED:
-                self._pieces.clear()
-            found = [t.id for t in self._token(piece.encode().decode("latin-1").translate(self._alphabet))]
-            ids = self._pieces[piece] = struct.pack(f"<{len(found)}I", *found)
-        return ids
-
-    def _new(self, chunk: str, lead: str = "") -> bytes:
-        """Ids of a chunk of known characters, by its pieces; words with at most one mark behind need no pattern."""
+        """Ids of one piece, from the model. Printable ASCII stands for itself in the byte-level alphabet."""
+        if not piece.isascii() or not piece.isalpha():
+            piece = piece.encode().decode("latin-1").translate(self._alphabet)
+        return array("I", [t.id for t in self._token(piece)]).tobytes()
+
+    def _cut(self, text: str) -> bytes:
+        """Ids of known characters, by the pattern's pieces."""
+        out = []
+        for piece in (_WORD_PIECES.findall(text) if self.words else _BYTE_PIECES.findall(text)):
+            ids = self._pieces.get(piece)
+            if ids is None:
+                if len(self._pieces) >= REMEMBERED:
+                    self._pieces.clear()
+                ids = self._pieces[piece] = self._piece(piece)
+            out.append(ids)
+        return b"".join(out)
+
+    def _new(self, chunk: str) -> bytes:
+        """Ids of a chunk not met lately. Words, with at most one mark behind, need no pattern."""
         if self.words:
             chunk = chunk.lower()
         if chunk.isalpha():
-            return self._piece(lead + chunk)
-        if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
-            return self._piece(lead + chunk[:-1]) + self._piece(chunk[-1])
-        pieces = _WORD_PIECES.findall(chunk) if self.words else _BYTE_PIECES.findall(lead + chunk)
-        return b"".join(map(self._piece, pieces))
+            if self.words:
+                return self._piece(chunk)
+            if chunk.isascii():
+                return array("I", [t.id for t in self._token(_SPACE_MARK + chunk)]).tobytes()
+            return self._piece(" " + chunk)
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            word = chunk[:-1]
+            ids = self._chunks.get(word)
+            if ids is None:
+                ids = self._chunks[word] = self._new(word)
+            return ids + self._cut(chunk[-1])
+        return self._cut(chunk if self.words else " " + chunk)
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -84,23 +104,23 @@ class Encoder:
         if not self._known_kind or not _KNOWN.fullmatch(text) or any(s in text for s in self.special):
             return self._whole(text)
         if self.words:
-            chunks, lead, first = text.split(), "", b""
+            chunks, first = text.split(), b""
         elif text[-1] == " " or any(s in text for s in _LOOSE):
-            return self._new(text)
+            return self._cut(text)
         else:
             # each space stands right before a character that isn't white space, and so begins a piece
             first, *chunks = text.split(" ")
-            lead, first = " ", self._new(first)
+            first = self._cut(first)
         known = self._chunks
-        if len(known) + len(chunks) > REMEMBERED:
-            known.clear()
+        if len(known) > REMEMBERED:
+            self._old, known = known, {}
+            self._chunks = known
         out = list(map(known.get, chunks))
-        at = -1
+        at, old = -1, self._old
         for _ in range(out.count(None)):
             at = out.index(None, at + 1)
             chunk = chunks[at]
-            out[at] = known.get(chunk) or self._new(chunk, lead)
-            known[chunk] = out[at]
+            out[at] = known[chunk] = known.get(chunk) or old.get(chunk) or self._new(chunk)
         return first + b"".join(out)
 
 
