@@ -87,13 +87,16 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, columns: list[str] | None = None, words: int = 3, radius: int = 2) -> DataFrame:
-    """One row per document: ``columns`` (``doc_id`` among them), ``fp`` and ``component_id``."""
+    """One row per document: ``columns`` (``doc_id`` among them), ``fp``, ``root`` and ``component_id``.
+
+    ``root`` is the component's smallest fingerprint, which tells components apart even where documents share an id.
+    """
     marked = cut(with_fingerprints(docs, columns or ["doc_id"], words))
     firsts = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(firsts.select("fp"), radius))
     labelled = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     labels = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(labels, "root").select("fp", "component_id")
+    named = labelled.join(labels, "root").select("fp", "root", "component_id")
     return marked.join(named, "fp")
 
 
@@ -104,9 +107,7 @@ def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """
     tagged = docs.withColumn("_hash", F.xxhash64("text"))
     found = near_duplicates(tagged, ["doc_id", "_hash"], words, radius)
-    # Components whose ids are all null are told apart by their texts' fingerprint.
-    key = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
-    best = found.groupBy(key.alias("k")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("_hash").alias("_hash"))).alias("w"))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("_hash").alias("_hash"))).alias("w"))
     winners = best.select(F.coalesce(F.col("w.doc_id"), F.lit(0)).alias("_id"), F.col("w.n").alias("_none"), F.col("w._hash").alias("_hash"))
     left = tagged.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_none", F.col("doc_id").isNull())
     kept = left.join(winners, ["_id", "_none", "_hash"], "left_semi")
