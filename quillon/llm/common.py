@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of a text batch that one Python step handles at a time; keeps a worker's memory flat.
 SLICE = 256
+#: Rows of a batch that Spark hands to Python: whole texts differ a thousandfold in length, so batches are kept short.
+BATCH_ROWS = 512
 #: White space of the word rules: space and U+0009 to U+000D. ``bytes.split()`` and ``bytes.strip()`` use the same set.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
@@ -59,6 +62,15 @@ def crc_fold(n: int, column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def arrow_pass(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` in short batches; the session's batch size is lowered where it is larger."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(setting, "10000")) <= BATCH_ROWS:
+        conf.set(setting, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into short ones."""
     for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, slices, small_enough
+from .common import arrow_pass, crc_fold, slices, small_enough
 
 #: Buckets of the trigram hash.
 BUCKETS = 1 << 16
@@ -130,7 +130,7 @@ def train(labelled: DataFrame, each: int = SAMPLE) -> Model:
             hit = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit), pa.string()), pa.array(hit), pa.array(total[hit])], names=["lang", "bucket", "n"])
 
-    counted = sample(labelled, each).mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = arrow_pass(sample(labelled, each), run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counted["lang"].unique())
     counts = np.zeros((len(languages), BUCKETS))
     counts[counted["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64), counted["bucket"].to_numpy(np.int64)] = counted["n"].to_numpy(float)
@@ -161,7 +161,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
 
     kept = docs.select(*columns, F.col("text").alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["lang_pred string", "score double", "mixture string"])
-    return kept.mapInArrow(run, schema)
+    return arrow_pass(kept, run, schema)
 
 
 def held_out_predictions(docs: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:

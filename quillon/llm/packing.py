@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import arrow_pass, cut, slices
 from .tokens import encoder
 
 WINDOW = 4096
@@ -108,7 +108,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, mos
         yield flush()
 
     schema = ", ".join(f"{n} {'binary' if n == 'ids' else 'bigint'}" for n in names)
-    placed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+    placed = arrow_pass(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, schema)
     # The pass runs once: closed and open pieces are told apart after it, in one grouped step over the open ones alone.
     placed = cut(placed)
     columns = [n for n in names if n != "part"]

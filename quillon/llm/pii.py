@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import arrow_pass, slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "login")
@@ -170,7 +170,7 @@ def find(docs: DataFrame, columns: list[str]) -> DataFrame:
 
     kept = docs.select(*columns, F.coalesce("text", F.lit("")).alias("_text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + [f"n_{k} bigint" for k in BASE] + ["base_sha256 string", "spans string"]
-    return kept.mapInArrow(run, ", ".join(fields))
+    return arrow_pass(kept, run, ", ".join(fields))
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -182,4 +182,4 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
             clean = [x if x is None or not (found := spans(x)) else redact(x, found) for x in part.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(clean, pa.string()) if i == at else c for i, c in enumerate(part.columns)], names=part.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_pass(docs, run, docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, cut, slices, small_enough, utf8
+from .common import ASCII_SPACE, arrow_pass, cut, slices, small_enough, utf8
 
 SYMBOLS = b"#*$%&|<>"
 #: Names of the transformed statistics.
@@ -75,7 +75,7 @@ def with_counts(docs: DataFrame, columns: list[str], text: str = "text") -> Data
     """``columns`` of the documents and the counting columns, in one Arrow pass over whole texts."""
     kept = docs.select(*columns, utf8(text).alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + [f"{c} bigint" for c in _COUNTS])
-    return kept.mapInArrow(_count_batches, schema)
+    return arrow_pass(kept, _count_batches, schema)
 
 
 def base_failed() -> Column:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, utf8
+from .common import arrow_pass, cut, slices, utf8
 from .components import components
 
 BITS, SEED = 64, 42
@@ -60,7 +60,7 @@ def with_fingerprints(docs: DataFrame, columns: list[str], words: int = 3) -> Da
 
     kept = docs.select(*columns, utf8().alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["fp bigint"])
-    return kept.mapInArrow(run, schema)
+    return arrow_pass(kept, run, schema)
 
 
 def ball(radius: int) -> list[int]:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_path, slices
+from .common import arrow_pass, cut, shared_path, slices
 from .tokens import encoder
 
 MAGIC = b"QPFOR\x00\x01\n"
@@ -171,7 +171,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> Data
 
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("_h"))
     ordered = ordered.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").drop("_h")
-    return cut(ordered.mapInArrow(run, "part bigint, seq bigint, file string, n_ids bigint"))
+    return cut(arrow_pass(ordered, run, "part bigint, seq bigint, file string, n_ids bigint"))
 
 
 _MANIFEST = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("file", pa.string()), ("n_ids", pa.int64())])
