@@ -36,6 +36,10 @@ BLOCK = 128
 PERCENTILE = 0.9
 #: Ids after which a file is closed, at a document's end (about 4 MB).
 FILE_IDS = 1 << 21
+#: Blocks that are packed or unpacked together.
+AT_A_TIME = 2048
+#: Most tasks that read files back.
+MOST_TASKS = 20_000
 _HEAD = struct.Struct("<8s5Q")
 
 
@@ -44,27 +48,56 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.uint8)
 
 
+def _to_bits(gaps: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of every row of offsets as one little-endian bit string a row; one offset of all rows at a time."""
+    columns = gaps.T.astype(np.uint64, order="C") & np.uint64((1 << width) - 1)
+    words = np.zeros((BLOCK * width // 64, len(gaps)), np.uint64)
+    for i, column in enumerate(columns):
+        at, shift = divmod(i * width, 64)
+        words[at] |= column << np.uint64(shift)
+        if shift + width > 64:
+            words[at + 1] |= column >> np.uint64(64 - shift)
+    return words.T.astype("<u8", order="C").view(np.uint8)
+
+
+def _from_bits(raw: np.ndarray, width: int) -> np.ndarray:
+    words = raw.view("<u8").T.astype(np.uint64, order="C")
+    columns = np.empty((BLOCK, len(raw)), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for i in range(BLOCK):
+        at, shift = divmod(i * width, 64)
+        value = words[at] >> np.uint64(shift)
+        if shift + width > 64:
+            value |= words[at + 1] << np.uint64(64 - shift)
+        columns[i] = value & mask
+    return columns.T
+
+
+def _runs(which: np.ndarray) -> Iterator[np.ndarray]:
+    """Runs of block numbers that stay in a core's cache."""
+    for at in range(0, len(which), AT_A_TIME):
+        yield which[at : at + AT_A_TIME]
+
+
 def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], percentile: float = PERCENTILE) -> bytes:
     """A file's bytes."""
     n, blocks = len(ids), -(-len(ids) // BLOCK)
+    rows = np.zeros((0, BLOCK), np.uint32)
     if n:
-        rows = np.concatenate([ids, np.full(blocks * BLOCK - n, ids[-1], ids.dtype)]).astype(np.uint32).reshape(blocks, BLOCK)
-    else:
-        rows = np.zeros((0, BLOCK), np.uint32)
+        rows = np.concatenate([ids, np.full(blocks * BLOCK - n, ids[-1], ids.dtype)]).astype(np.uint32, copy=False).reshape(blocks, BLOCK)
     least = rows.min(1) if n else np.zeros(0, np.uint32)
     gaps = rows - least[:, None]
     at = int(np.ceil(percentile * BLOCK)) - 1
     width = _bits(np.partition(gaps, at, 1)[:, at])
-    outlier = (gaps.astype(np.uint64) >> width[:, None]) > 0
+    outlier = gaps > ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     count = outlier.sum(1).astype(np.int64)
     packed = width.astype(np.int64) * (BLOCK // 8)
     size = packed + 5 * count
     starts = np.cumsum(size) - size
     data = np.zeros(int(size.sum()), np.uint8)
-    for w in np.unique(width[width > 0]):
-        which = np.flatnonzero(width == w)
-        bits = np.unpackbits(gaps[which].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :w]
-        data[starts[which, None] + np.arange(int(w) * BLOCK // 8)] = np.packbits(bits.reshape(len(which), -1), axis=1, bitorder="little")
+    for w in np.unique(width[width > 0]).tolist():
+        for which in _runs(np.flatnonzero(width == w)):
+            data[starts[which, None] + np.arange(w * BLOCK // 8)] = _to_bits(gaps[which], w)
     block, position = np.nonzero(outlier)
     if len(block):
         nth = np.arange(len(block)) - (np.cumsum(count) - count)[block]
@@ -108,12 +141,9 @@ class TokenFile:
             return np.zeros(0, np.uint32)
         width, starts = self.width[first:last], self.starts[first:last].astype(np.int64)
         out = np.zeros((last - first, BLOCK), np.uint32)
-        for w in np.unique(width[width > 0]):
-            which = np.flatnonzero(width == w)
-            raw = self.data[starts[which, None] + np.arange(int(w) * BLOCK // 8)]
-            bits = np.zeros((len(which) * BLOCK, 32), np.uint8)
-            bits[:, :w] = np.unpackbits(raw, axis=1, bitorder="little").reshape(-1, w)
-            out[which] = np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(-1, BLOCK)
+        for w in np.unique(width[width > 0]).tolist():
+            for which in _runs(np.flatnonzero(width == w)):
+                out[which] = _from_bits(self.data[starts[which, None] + np.arange(w * BLOCK // 8)], w)
         count = self.count[first:last].astype(np.int64)
         if total := int(count.sum()):
             block = np.repeat(np.arange(last - first), count)
@@ -203,7 +233,9 @@ def read(folder: str, manifest: DataFrame) -> DataFrame:
                 columns = [pa.array(found.doc_ids, pa.int64()), pa.array(begins + base), pa.array(found.lengths), pa.array(crcs, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return with_bases(manifest).repartition("file").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # The names are few bytes, which adaptive execution would put into one task: the number of tasks follows the files instead.
+    tasks = min(max(manifest.count(), 1), MOST_TASKS)
+    return with_bases(manifest).repartition(tasks, "file").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:

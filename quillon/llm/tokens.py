@@ -20,11 +20,20 @@ _BYTE_PIECES = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \t-\r0-9{_LETTERS}]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
 )
 _WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \t-\r0-9{_LETTERS}]+")
-#: A space before other white space; such texts are cut by the pattern alone.
-_LOOSE = ("  ", " \n", " \t", " \r", " \x0b", " \x0c")
+#: A space or line break beside other white space; such texts are cut by the pattern alone.
+_LOOSE = re.compile(r"[ \n][\t-\r ]|[\t-\r]\n")
+_LOOSE_PAIRS = ("  ", " \n", "\n ", "\n\n")  # the same, where a text has no other white space
+
+
+def _loose(text: str) -> bool:
+    if "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text:
+        return _LOOSE.search(text) is not None
+    return any(pair in text for pair in _LOOSE_PAIRS)
+
+
 #: Chunks in a generation of an encoder's memory (about 200 bytes each). A full one is kept as the old one, from which chunks
 #: that occur again move on; the old one before it is forgotten.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 _SPACE_MARK = "Ġ"  # the byte-level alphabet's space
 
 
@@ -80,8 +89,14 @@ class Encoder:
             out.append(ids)
         return b"".join(out)
 
+    def _mark(self, mark: str) -> bytes:
+        ids = self._pieces.get(mark)
+        return self._cut(mark) if ids is None else ids
+
     def _new(self, chunk: str) -> bytes:
         """Ids of a chunk not met lately. Words, with at most one mark behind, need no pattern."""
+        if chunk[:1] == "\n":
+            return self._mark("\n") + self._cut(chunk[1:])
         if self.words:
             chunk = chunk.lower()
         if chunk.isalpha():
@@ -95,7 +110,7 @@ class Encoder:
             ids = self._chunks.get(word)
             if ids is None:
                 ids = self._chunks[word] = self._new(word)
-            return ids + self._cut(chunk[-1])
+            return ids + self._mark(chunk[-1])
         return self._cut(chunk if self.words else " " + chunk)
 
     def encode(self, text: str) -> bytes:
@@ -105,22 +120,24 @@ class Encoder:
             return self._whole(text)
         if self.words:
             chunks, first = text.split(), b""
-        elif text[-1] == " " or any(s in text for s in _LOOSE):
+        elif text[-1] in " \n" or _loose(text):
             return self._cut(text)
         else:
-            # each space stands right before a character that isn't white space, and so begins a piece
-            first, *chunks = text.split(" ")
+            # each space stands right before a character that isn't white space, and so begins a piece; a single line break
+            # is a piece of its own, and begins a chunk without a space
+            first, *chunks = text.replace("\n", " \n").split(" ")
             first = self._cut(first)
         known = self._chunks
         if len(known) > REMEMBERED:
             self._old, known = known, {}
             self._chunks = known
         out = list(map(known.get, chunks))
-        at, old = -1, self._old
-        for _ in range(out.count(None)):
-            at = out.index(None, at + 1)
-            chunk = chunks[at]
-            out[at] = known[chunk] = known.get(chunk) or old.get(chunk) or self._new(chunk)
+        if None in out:
+            old = self._old
+            for at, ids in enumerate(out):
+                if ids is None:
+                    chunk = chunks[at]
+                    out[at] = known[chunk] = known.get(chunk) or old.get(chunk) or self._new(chunk)
         return first + b"".join(out)
 
 
