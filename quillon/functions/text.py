@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: the white space of web scripting (wider than Java's \s), for use inside a character class.
-SPACE = r"\t-\r    -     　﻿"
-LINE_BREAKS = r"\r\n?|[  ]"
-INVISIBLE = r"[​⁠﻿­]"
-ODD_SPACES = r"[     　]"
+SPACE = r"\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+LINE_BREAKS = r"\r\n?|[\u2028\u2029]"
+INVISIBLE = r"[\u200b\u2060\ufeff\u00ad]"
+ODD_SPACES = r"[\u00a0\u2007\u202f\u2009\u200a\u3000]"
 #: Characters that close a sentence, or a line that is complete.
 TERMINAL = r'[.!?:;"”’)\]]\z'
 PAGE_MARKER = rf"(?i)\A[{SPACE}]*(?:.{{0,80}}?[{SPACE}]{{2,}})?page[{SPACE}]+[0-9]{{1,4}}(?:[{SPACE}]+(?:of|/)[{SPACE}]+[0-9]{{1,4}})?[{SPACE}]*\z"
