@@ -83,12 +83,20 @@ def looks_like_markdown(text: Column | str) -> Column:
     return strong | (weak >= 3)
 
 
-def is_hard_wrapped(lines: Column) -> Column:
-    """Whether an array of trimmed lines was broken by width: long lines, some of them ending mid-sentence."""
-    longest = F.array_max(F.transform(lines, F.length))
+def is_hard_wrapped(lines: Column, longest: Column | None = None) -> Column:
+    """Whether an array of trimmed lines was broken by width: long lines, some of them ending mid-sentence.
+
+    ``longest`` is the longest line's length; it is best computed before, as functions of arrays repeat it for every line.
+    """
+    longest = F.array_max(F.transform(lines, F.length)) if longest is None else longest
     body = F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(1)))
     long = F.size(F.filter(body, lambda x: F.length(x) >= longest * 0.6))
-    return (F.size(lines) >= 2) & (longest >= 40) & (long / F.size(body) >= 0.6) & F.exists(body, lambda x: ~x.rlike(TERMINAL))
+    return (F.size(lines) >= 2) & (longest >= 40) & (long / (F.size(lines) - 1) >= 0.6) & F.exists(body, lambda x: ~x.rlike(TERMINAL))
+
+
+def is_tab_row(line: Column) -> Column:
+    """Tabs between values, not only before them; lines without a tab never meet the pattern."""
+    return F.contains(line, F.lit("\t")) & line.rlike(TAB_ROW)
 
 
 def has_visible_text(html: Column) -> Column:
@@ -106,8 +114,9 @@ def detect_source(html: Column | str, text: Column | str) -> Column:
     t = F.coalesce(col(text), F.lit(""))
     markdown = looks_like_markdown(t)
     takes_html = has_visible_text(h) & (h.rlike(MEANINGFUL_TAG) | is_blank(t) | ~markdown)
-    rows = F.size(F.filter(F.split(t, r"\r?\n", -1), lambda x: x.rlike(TAB_ROW)))
-    wrapped = F.exists(chunks_of(t), lambda c: (F.size(c) >= 3) & is_hard_wrapped(c))
+    rows = F.size(F.filter(F.split(t, "\n", -1), is_tab_row))  # a carriage return is white space
+    measured = F.transform(F.filter(chunks_of(t), lambda c: F.size(c) >= 3), lambda c: F.struct(c.alias("l"), F.array_max(F.transform(c, F.length)).alias("m")))
+    wrapped = F.exists(measured, lambda c: is_hard_wrapped(c["l"], c["m"]))
 
     def found(kind: str, label: Column | str) -> Column:
         return F.struct(F.lit(kind).alias("kind"), (F.lit(label) if isinstance(label, str) else label).alias("label"))

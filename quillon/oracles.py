@@ -132,7 +132,7 @@ ORACLE_SQL: dict[str, str] = {
         '<pre>' || {_ALIGNED} || '</pre>' AS pre FROM {_SUPPLIERS}""",
     "q_line_blocks": """SELECT o_orderkey AS id, b.block, b.kind, b.n AS n_lines FROM orders, (VALUES (1::BIGINT, 'heading', 1::BIGINT), (2, 'ul', 2), (3, 'quote', 1), (4, 'code', 3), (5, 'text', 1)) b(block, kind, n)""",
     "q_inline": """SELECT c_custkey, '<strong>' || c_name || '</strong> &amp; <code>x&lt;y</code> see <a href="https://x.org/' || c_custkey || '">the site</a>' AS html, c_name || ' & x<y see the site (https://x.org/' || c_custkey || ')' AS text FROM customer""",
-    "q_lists": """SELECT p_brand AS id, d AS depth, CASE WHEN p_partkey % 3 = 0 THEN 'circle' ELSE 'disc' END AS class, count(*) AS n FROM (SELECT *, CASE p_partkey % 3 WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END::BIGINT AS d FROM part) GROUP BY ALL""",
+    "q_lists": """SELECT p_brand AS id, d AS depth, CASE WHEN p_partkey % 3 = 0 THEN 'circle' ELSE 'disc' END AS class, count(*) AS n FROM (SELECT *, dense_rank() OVER (PARTITION BY p_brand ORDER BY CASE p_partkey % 3 WHEN 1 THEN 0 WHEN 0 THEN 2 ELSE 4 END) - 1 AS d FROM part) GROUP BY ALL""",
     "q_notes_matrix": f"SELECT flaw, CAST(sum(h) AS BIGINT) AS hidden, CAST(sum(r) AS BIGINT) AS runs FROM (SELECT doc_id % 4 AS flaw, {_HIDDEN} AS h, {_RUNS} AS r FROM {_DIRTY}) GROUP BY flaw",
     "q_sources_cube": f"SELECT lang, label, count(*) AS n, grouping(lang, label)::BIGINT AS level FROM (SELECT lang, {_LABEL} AS label FROM {_SOURCE}) GROUP BY CUBE (lang, label)",
     "q_quality_of_changes": f"SELECT doc_id, quality, hidden, rank FROM (SELECT d.doc_id, quality, {_HIDDEN} AS hidden, dense_rank() OVER (PARTITION BY quality ORDER BY {_HIDDEN} DESC) AS rank FROM {_DIRTY} d JOIN labels USING (doc_id) WHERE quality IS NOT NULL) WHERE rank <= 3",

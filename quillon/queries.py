@@ -57,8 +57,8 @@ def _wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q_hard_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _wrapped(spark, sf_dir).withColumn("l", F.split("text", "\n", -1))
-    return rows.select("id", F.size("l").cast("bigint").alias("n_lines"), F.array_max(F.transform("l", F.length)).cast("bigint").alias("longest"), F.coalesce(detect.is_hard_wrapped(F.col("l")), F.lit(False)).alias("wrapped"))
+    rows = _wrapped(spark, sf_dir).withColumn("l", F.split("text", "\n", -1)).withColumn("m", F.array_max(F.transform("l", F.length)))
+    return rows.select("id", F.size("l").cast("bigint").alias("n_lines"), F.col("m").cast("bigint").alias("longest"), F.coalesce(detect.is_hard_wrapped(F.col("l"), F.col("m")), F.lit(False)).alias("wrapped"))
 
 
 @query
