@@ -12,7 +12,7 @@ from quillon.functions import css, detect, links, text
 from quillon.functions.inline import inline_html, inline_text
 from quillon.operators import lines, markup, relational, tables
 from quillon.plans.transform import note_counts, transform
-from quillon.sources.tables import all_payloads, dirty, document_payloads, page_payloads, table, tab_rows, wrapped
+from quillon.sources.tables import all_payloads, dirty, document_payloads, page_payloads, spread, table, tab_rows, wrapped
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,7 +24,7 @@ def query(f: Query) -> Query:
 
 
 def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", dirty("text", "doc_id").alias("t"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", dirty("text", "doc_id").alias("t"))
 
 
 @query
@@ -42,7 +42,7 @@ def q_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q_detect_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = detect.detect_source(F.lit(None).cast("string"), "text")
-    return table(spark, sf_dir, "documents").select("doc_id", s["kind"].alias("kind"), s["label"].alias("label"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", s["kind"].alias("kind"), s["label"].alias("label"))
 
 
 @query
@@ -68,7 +68,7 @@ def q_reflow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", links.fingerprint("text").alias("fp"))
+    found = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", links.fingerprint("text").alias("fp"))
     return found.where(F.col("fp") != "").groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
@@ -302,7 +302,7 @@ def q_notes_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q_sources_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("lang", detect.detect_source(F.lit(None).cast("string"), "text")["label"].alias("label"))
+    d = spread(table(spark, sf_dir, "documents").select("lang", "text")).select("lang", detect.detect_source(F.lit(None).cast("string"), "text")["label"].alias("label"))
     return d.cube("lang", "label").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("bigint").alias("level"))
 
 

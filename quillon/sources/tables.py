@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table of few files dealt out to all cores, for costly expressions; many files are left where they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def _payload(id_: Column, html: Column | None, text: Column | None) -> list[Column]:
     none = F.lit(None).cast("string")
     return [id_.alias("id"), (none if html is None else html).alias("html"), (none if text is None else text).alias("text")]
