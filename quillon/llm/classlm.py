@@ -1,288 +1,495 @@
 """Language-model scores with Brown class-based bigrams.
 
-Learning counts every word of all training texts (one Spark aggregation). The most frequent words, and the endings of all
-other words, are types; the counts of neighbouring types over the whole training corpus (a matrix whose size is a parameter)
-feed exchange clustering, which moves each type to the class that raises the likelihood most until a sweep gains little.
+Exchange clustering assigns every word of the training texts to a class:
+
+1. Words are 64-bit hashes; one Spark aggregation counts them all.
+2. Words that hold at least ``SHARE`` of all tokens and occur ``LEAST`` times take part in the sweeps: at most 1 / ``SHARE``
+   words, however large the corpus, which bounds what a sweep broadcasts. The counts of their neighbours, on both sides, stay
+   in a table with a row a word. The ``SEEDS`` most frequent are clustered first, on the driver; then all others are placed,
+   and sweeps move words: each task weighs its words' classes of neighbours against the class bigrams of the whole corpus.
+   A sweep's moves are taken together, as in distributed word clustering (Uszkoreit and Brants, 2008), and kept only if the
+   likelihood of the whole corpus rises; else fewer words move at a time.
+3. Every rarer word takes the class that raises the likelihood most given its neighbours' classes: the same step, once.
+
 A word's probability is its class's, given the class before it, times its share of the class:
 
-    P(w | before) = P(class(w) | class(before)) * (c(w) + 0.5) / (mass of class(w))
+    P(w | before) = P(class(w) | class(before)) * (c(w) + 0.5) / mass(class(w))
 
-Both factors are smoothed: transitions towards the classes' own shares, words by 0.5 with a slot for unknown words in each
-class. Scoring looks frequent words up in a bounded broadcast table; the others join the full counts by word, after being
-folded within each text, so no word's rows meet in number.
+with transitions smoothed towards the classes' own shares. A class's mass also holds a slot for unknown words, half of its
+words seen once and a half. An unknown word has no class: its probability is summed over all classes' slots, and what
+follows it is predicted by the classes of words seen once. The probabilities of all words and the slots sum to one.
 
-Defined results: a null text is empty and consists of the end token; words of any length count; with no training text every
-count is nil. A null id counts as the empty text for the split into training and held-out texts.
+Defined results: a null text is empty and consists of the end token; words of any length count, and repeated rows count as
+often as they occur; with no training text every count is nil. A null id counts as the empty text for the split into
+training and held-out texts. Equal gains go to the class of the smaller number; equal counts are ordered by hash. Only
+``doc_id`` and ``text`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_pass, crc_fold, keep, slices, utf8
 
-#: The end of a text; no word contains white space.
-END = b"\n"
-#: Words that scoring looks up without a join (about 120 bytes each in a worker).
-LOOKED_UP = 1 << 18
-#: Word types and ending types of the clustering, and bytes of an ending.
-WORD_TYPES, ENDING_TYPES, ENDING = 512, 256, 3
-CLASSES, SWEEPS, PRIOR = 64, 12, 20.0
-#: Distinct words that a task holds before it hands them on.
-HELD = 400_000
+#: Least occurrences, and least share of all tokens, of words that take part in the sweeps (12 bytes each in a broadcast).
+LEAST, SHARE = 2, 2e-7
+CLASSES, SEEDS, SWEEPS, PRIOR = 64, 512, 8, 20.0
+#: A sweep that raises the likelihood by less than this part is the last.
+GAIN = 5e-4
+#: Tokens that a task folds at a time.
+WINDOW = 1 << 22
+#: Words whose moves are weighed at a time.
+BLOCK = 512
+#: Codes of classes beside the ordinary ones: the end of a text, and words without a class.
+END, NONE, ALL = CLASSES, CLASSES + 1, CLASSES + 2
+END_HASH = xxhash.xxh64_intdigest(b"\n")  # no word contains white space
+
+
+def hashes(text: bytes) -> np.ndarray:
+    """The text's words as hashes, without the end."""
+    words = text.lower().split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Hashes of many texts in a row, each text behind an end and the last before one."""
+    end = np.array([END_HASH], np.uint64)
+    held, size = [end], 1
+    for part in slices(batches):
+        for text in part.column("_text").to_pylist():
+            held += [hashes(text), end]
+            size += len(held[-2]) + 1
+        if size > WINDOW:
+            yield np.concatenate(held)
+            held, size = [end], 1
+    if size > 1:
+        yield np.concatenate(held)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """``word, n`` over the ``_text`` bytes, ends included; folded in each task before the shuffle."""
+    """``h, n`` over the ``_text`` bytes, ends included; folded in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        for tokens in _runs(batches):
+            h, n = np.unique(tokens[1:], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-            held.clear()
-            return out
+    return arrow_pass(texts.select("_text"), run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
-        for part in slices(batches):
-            for text in part.column("_text").to_pylist():
-                held.update(text.lower().split())
-                held[END] += 1
-            if len(held) > HELD:
-                yield flush()
-        yield flush()
 
-    return arrow_pass(texts.select("_text"), run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+class Words:
+    """Numbers of the words of the sweeps, by falling count; ``size`` is the end's, ``size + 1`` any other word's."""
+
+    def __init__(self, h: np.ndarray):
+        h = h.astype(np.int64).view(np.uint64)
+        self.size = len(h)
+        order = np.argsort(np.append(h, END_HASH), kind="stable")
+        self.keys, self.ids = np.append(h, np.uint64(END_HASH))[order], order.astype(np.int32)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, h), self.size)
+        return np.where(self.keys[at] == h, self.ids[at], np.int32(self.size + 1))
+
+
+def neighbours(texts: DataFrame, words: Words) -> DataFrame:
+    """``w, v, n``: each word with arrays of its neighbours and how often they meet; ``-1 - v`` stands for ``v`` on the left.
+
+    The end and the other words have right neighbours only. No array is longer than twice the number of words.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        width = words.size + 2
+        for tokens in _runs(batches):
+            ids = words(tokens).astype(np.int64)
+            code, n = np.unique(ids[:-1] * width + ids[1:], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((code // width).astype(np.int32)), pa.array((code % width).astype(np.int32)), pa.array(n)], names=["l", "r", "n"])
+
+    pairs = arrow_pass(texts.select("_text"), run, "l int, r int, n bigint").groupBy("l", "r").agg(F.sum("n").alias("n"))
+    right = F.struct(F.col("l").alias("w"), F.col("r").alias("v"))
+    left = F.struct(F.col("r").alias("w"), (-1 - F.col("l")).alias("v"))
+    sides = pairs.select(F.explode(F.when(F.col("r") < words.size, F.array(right, left)).otherwise(F.array(right))).alias("s"), "n")
+    return sides.groupBy("s.w").agg(F.collect_list("s.v").alias("v"), F.collect_list("n").alias("n"))
 
 
 def _x_log_x(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(pairs: np.ndarray, fixed: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """Classes of types from their pair counts. Type ``fixed`` has the last class to itself.
+def likelihood(joint: np.ndarray) -> float:
+    """Log likelihood of the class bigrams, up to a constant of the corpus."""
+    return float(_x_log_x(joint).sum() - _x_log_x(joint.sum(1)).sum() - _x_log_x(joint.sum(0)).sum())
 
-    Each step takes a type out of its class and puts it where the bigram likelihood of the classes becomes largest.
+
+def gains(into: np.ndarray, out: np.ndarray, own: np.ndarray, of: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    """What each word's being in each class adds to the likelihood, each word alone taken out of its class ``of``.
+
+    ``into`` and ``out`` count a word's neighbours of each class on the left and right, ``own`` its meetings with itself.
+    Only cells of neighbours that a word has change, so only those are computed.
+    """
+    size, k = into.shape
+    total = np.zeros((size, k))
+    at_word = np.arange(size)
+    for near, other, cells in ((into, out, joint), (out, into, joint.T)):
+        w, i = np.nonzero(near)
+        if not len(w):
+            continue
+        x = cells[i]
+        x[np.arange(len(w)), of[w]] -= near[w, i]
+        home = np.flatnonzero(i == of[w])
+        x[home] -= other[w[home]]
+        x[home, of[w[home]]] -= own[w[home]]
+        change = _x_log_x(x + near[w, i][:, None]) - _x_log_x(x)
+        first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        total[w[first]] += np.add.reduceat(change, first, axis=0)
+    diagonal = np.repeat(np.diagonal(joint)[None, :], size, 0)
+    diagonal[at_word, of] -= into[at_word, of] + out[at_word, of] + own
+    base = _x_log_x(diagonal)
+    total += _x_log_x(diagonal + into + out + own[:, None]) + base - _x_log_x(diagonal + into) - _x_log_x(diagonal + out)
+    for near, margin in ((out, joint.sum(1)), (into, joint.sum(0))):
+        more = near.sum(1) + own
+        have = np.repeat(margin[None, :], size, 0)
+        have[at_word, of] -= more
+        total -= _x_log_x(have + more[:, None]) - _x_log_x(have)
+    return total
+
+
+def best_classes(into: np.ndarray, out: np.ndarray, own: np.ndarray, of: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    """The class each word moves to; its own unless another gains more, any if it has none."""
+    found = np.array(of)
+    for at in range(0, len(of), BLOCK):
+        part = slice(at, at + BLOCK)
+        gain = gains(into[part], out[part], own[part], of[part], joint)
+        best = gain[:, :CLASSES].argmax(1)
+        row = np.arange(len(best))
+        better = (of[part] == NONE) | (gain[row, best] > gain[row, of[part]] + 1e-9)
+        found[part] = np.where(better, best, of[part])
+    return found
+
+
+def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+    """Classes of a few types, the last of which is the end, from their matrix of pair counts; one move at a time.
+
+    The seeds of the clustering, and what its distributed sweeps are tested against.
     """
+    t = len(pairs) - 1
+    of = np.append(np.arange(t) % classes, END)
     pairs = pairs.astype(float)
-    t = len(pairs)
-    order = np.argsort(-(pairs.sum(0) + pairs.sum(1)), kind="stable")
-    order = order[order != fixed]
-    of = np.zeros(t, np.int64)
-    of[order] = np.arange(len(order)) % classes
-    of[fixed] = classes
-    k = classes + 1
-    member = np.zeros((t, k))
-    member[np.arange(t), of] = 1
+    member = np.zeros((t + 1, ALL))
+    member[np.arange(t + 1), of] = 1
     joint = member.T @ pairs @ member
     for _ in range(sweeps):
-        moved, gained = 0, 0.0
-        for w in order:
-            a, own = of[w], pairs[w, w]
-            into = member.T @ pairs[:, w]
-            out = pairs[w] @ member
-            into[a] -= own
-            out[a] -= own
-            joint[:, a] -= into
-            joint[a, :] -= out
-            joint[a, a] -= own
-            here = _x_log_x(joint)
-            columns = _x_log_x(joint + into[:, None]) - here
-            rows = _x_log_x(joint + out[None, :]) - here
-            diagonal = np.diagonal
-            gain = columns.sum(0) - diagonal(columns) + rows.sum(1) - diagonal(rows)
-            gain += _x_log_x(diagonal(joint) + into + out + own) - diagonal(here)
-            first, second = joint.sum(1) + into, joint.sum(0) + out  # pairs with the type count for the other class too
-            gain -= _x_log_x(first + out.sum() + own) - _x_log_x(first) + _x_log_x(second + into.sum() + own) - _x_log_x(second)
-            b = int(np.argmax(gain[:classes]))
-            if gain[b] <= gain[a] + 1e-9:
-                b = a
-            moved += b != a
-            gained += gain[b] - gain[a]
-            joint[:, b] += into
-            joint[b, :] += out
-            joint[b, b] += own
-            member[w, a], member[w, b] = 0, 1
-            of[w] = b
-        if moved == 0 or gained < 1e-6 * abs(_x_log_x(joint).sum()):
+        before = likelihood(joint)
+        for w in range(t):
+            into, out, own = member.T @ pairs[:, w], pairs[w] @ member, pairs[w, w]
+            into[of[w]] -= own
+            out[of[w]] -= own
+            gain = gains(into[None], out[None], np.array([own]), of[w : w + 1], joint)[0]
+            a, b = of[w], int(gain[:classes].argmax())
+            if gain[b] > gain[a] + 1e-9:
+                for c, sign in ((a, -1), (b, 1)):
+                    joint[:, c] += sign * into
+                    joint[c, :] += sign * out
+                    joint[c, c] += sign * own
+                member[w, a], member[w, b], of[w] = 0, 1, b
+        if likelihood(joint) - before <= GAIN * abs(before):
             break
     return of
 
 
-class _Types:
-    """Which type each word is: a frequent word, an ending, anything else, or the end."""
+def _sides(part: pa.RecordBatch, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a batch of ``neighbours``, with the counts of their neighbours' classes on the left and right, and their own."""
+    w = part.column("w").to_numpy()
+    lists = part.column("v")
+    row = np.repeat(np.arange(len(w)), np.diff(lists.offsets.to_numpy()))
+    v, n = lists.flatten().to_numpy(), part.column("n").flatten().to_numpy().astype(float)
+    left = v < 0
+    same = np.where(left, -1 - v, v) == w[row]
+    counts = np.bincount((row * 2 + left) * ALL + of[np.where(left, -1 - v, v)], np.where(same, 0.0, n), len(w) * 2 * ALL).reshape(-1, 2, ALL)
+    own = np.bincount(row[same & ~left], n[same & ~left], len(w))
+    return w, counts[:, 1], counts[:, 0], own
 
-    def __init__(self, words: list[bytes], endings: list[bytes]):
-        self.word = {w: i for i, w in enumerate(words)}
-        self.ending = {e: len(words) + i for i, e in enumerate(endings)}
-        self.other = len(words) + len(endings)
-        self.end = self.other + 1
-        self.n = self.end + 1
 
-    def __call__(self, word: bytes) -> int:
-        found = self.word.get(word)
-        return self.ending.get(word[-ENDING:], self.other) if found is None else found
+def class_pairs(near: DataFrame, of: np.ndarray) -> np.ndarray:
+    """How often each class follows each in the whole corpus."""
+    shared = near.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, total = shared.value, np.zeros((ALL, ALL))
+        for part in batches:
+            w, _, out, own = _sides(part, of)
+            np.add.at(total, of[w], out)
+            np.add.at(total, (of[w], of[w]), own)
+        yield _cells(total)
+
+    return _matrix(arrow_pass(near, run, "pair int, n double"))
 
 
-def count_pairs(texts: DataFrame, types: _Types) -> np.ndarray:
-    """How often each type follows each, over all texts; the end stands before a text's first word."""
-    n = types.n
-    shared = texts.sparkSession.sparkContext.broadcast(types)
+def _cells(total: np.ndarray) -> pa.RecordBatch:
+    hit = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(total.ravel()[hit].astype(float))], names=["pair", "n"])
+
+
+def _matrix(cells: DataFrame) -> np.ndarray:
+    """The sum of tasks' matrices: at most ``ALL`` x ``ALL`` cells reach the driver."""
+    found = cells.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(ALL * ALL)
+    total[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(float)
+    return total.reshape(ALL, ALL)
+
+
+def moves(near: DataFrame, words: int, of: np.ndarray, joint: np.ndarray, every: int, turn: int) -> np.ndarray:
+    """``of`` after one sweep in which one of ``every`` words may move; words without a class all get one."""
+    shared = near.sparkSession.sparkContext.broadcast((of, joint))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, total, codes, held = shared.value, np.zeros(n * n, np.int64), [], 0
-        cache: dict[bytes, int] = dict(types.word)
+        of, joint = shared.value
+        for part in batches:
+            w, into, out, own = _sides(part, of)
+            mine = (w < words) & ((of[w] == NONE) | ((w * 40503 >> 4) % every == turn % every))
+            found = best_classes(into[mine], out[mine], own[mine], of[w[mine]].astype(np.int64), joint)
+            moved = found != of[w[mine]]
+            yield pa.RecordBatch.from_arrays([pa.array(w[mine][moved]), pa.array(found[moved].astype(np.int16))], names=["w", "c"])
+
+    found = arrow_pass(near, run, "w int, c smallint").toPandas()  # at most 1 / SHARE rows of 6 bytes
+    of = np.array(of)
+    of[found["w"].to_numpy(np.int64)] = found["c"].to_numpy()
+    return of
 
-        def fold() -> None:
-            nonlocal held
-            if codes:
-                total[:] += np.bincount(np.concatenate(codes), minlength=n * n)
-            codes.clear()
-            held = 0
 
-        for part in slices(batches):
-            for text in part.column("_text").to_pylist():
-                words = text.lower().split()
-                row = np.fromiter(map(cache.get, words, repeat(-1)), np.int64, len(words))
-                for at in np.flatnonzero(row < 0).tolist():
-                    row[at] = types(words[at])
-                row = np.concatenate([[types.end], row, [types.end]])
-                codes.append(row[:-1] * n + row[1:])
-                held += len(row)
-            if held > 1 << 20:
-                fold()
-        fold()
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["pair", "n"])
-
-    found = arrow_pass(texts.select("_text"), run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    pairs = np.zeros(n * n, np.int64)
-    pairs[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return pairs.reshape(n, n)
+def _seeds(near: DataFrame, words: int) -> np.ndarray:
+    """Classes of the most frequent words; the others have none yet."""
+    of = np.full(words + 2, NONE, np.uint8)
+    of[words] = END
+    few = min(SEEDS, words)
+    if few:
+        named = lambda c: F.when(F.col(c) == words, few).otherwise(F.col(c)).alias(c)
+        rows = near.where((F.col("w") < few) | (F.col("w") == words)).select("w", F.inline(F.arrays_zip("v", "n")))
+        rows = rows.where(((F.col("v") >= 0) & (F.col("v") < few)) | (F.col("v") == words)).select(named("w"), named("v"), "n").toPandas()
+        pairs = np.zeros((few + 1, few + 1))
+        pairs[rows["w"].to_numpy(), rows["v"].to_numpy()] = rows["n"].to_numpy()
+        of[:few] = exchange(pairs)[:few]
+    return of
+
+
+def cluster(near: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """A class for each of ``words`` words, and the class bigrams of the corpus."""
+    of = _seeds(near, words)
+    of = moves(near, words, of, class_pairs(near, of), 1, 0)
+    joint = class_pairs(near, of)
+    every = 2
+    for turn in range(SWEEPS):
+        tried = moves(near, words, of, joint, every, turn)
+        if np.array_equal(tried, of):
+            break
+        after = class_pairs(near, tried)
+        gained = likelihood(after) - likelihood(joint)
+        if gained <= 0:
+            every *= 2
+            continue
+        of, joint = tried, after
+        if gained < GAIN * abs(likelihood(joint)):
+            break
+    return of, joint
+
+
+def place_rest(texts: DataFrame, words: Words, of: np.ndarray, joint: np.ndarray) -> DataFrame:
+    """``h, n, c``: the other words of the training texts, how often they occur, and the class they take from their neighbours."""
+    shared = texts.sparkSession.sparkContext.broadcast((words, of, joint))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, of, _ = shared.value
+        for tokens in _runs(batches):
+            ids = words(tokens)
+            at = np.flatnonzero(ids == words.size + 1)
+            code = of[ids[at - 1]].astype(np.int32) * ALL + of[ids[at + 1]]
+            h, code, n = _folded(tokens[at], code)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(code), pa.array(n)], names=["h", "code", "n"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joint = shared.value[2]
+        for part in batches:
+            lists = part.column("code")
+            size = part.num_rows
+            row = np.repeat(np.arange(size), np.diff(lists.offsets.to_numpy()))
+            code, n = lists.flatten().to_numpy(), part.column("n").flatten().to_numpy()
+            into = np.bincount(row * ALL + code // ALL, n, size * ALL).reshape(-1, ALL)
+            out = np.bincount(row * ALL + code % ALL, n, size * ALL).reshape(-1, ALL)
+            c = best_classes(into, out, np.zeros(size), np.full(size, NONE), joint)
+            yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(np.bincount(row, n, size).astype(np.int64)), pa.array(c.astype(np.int16))], names=["h", "n", "c"])
+
+    met = arrow_pass(texts.select("_text"), meet, "h bigint, code int, n bigint")
+    # One exchange by word; a word's list holds each pair of classes once, and no word of this table is frequent.
+    folded = met.repartition("h").groupBy("h", "code").agg(F.sum("n").alias("n"))
+    return arrow_pass(folded.groupBy("h").agg(F.collect_list("code").alias("code"), F.collect_list("n").alias("n")), place, "h bigint, n bigint, c smallint")
+
+
+def _folded(h: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of a hash and a code, and how often each occurs."""
+    order = np.lexsort((code, h))
+    h, code = h[order], code[order]
+    first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (code[1:] != code[:-1]))[: len(h)])
+    return h[first], code[first], np.diff(np.append(first, len(h)))
 
 
 class Model:
-    """What scoring needs besides the full counts: totals, frequent words, classes of types, log ratios of transitions."""
+    """Totals, the words of the sweeps with their counts and classes, and the masses of classes."""
 
-    def __init__(self, tokens: int, distinct: int, words: list[tuple[bytes, int]], types: _Types, pairs: np.ndarray, type_distinct: np.ndarray):
+    def __init__(self, tokens: int, distinct: int, words: Words, counts: np.ndarray, end: int, of: np.ndarray, mass: np.ndarray, once: np.ndarray):
         self.tokens, self.divisor = tokens, tokens + 0.5 * (distinct + 1)
-        self.types = types
-        self.frequent = [w for w, _ in words]
-        counts = np.array([c for _, c in words], float)
-        self.base = np.log10((counts + 0.5) / self.divisor)
-        self.of = exchange(pairs, types.end) if tokens else np.append(np.zeros(types.n - 1, np.int64), CLASSES)
-        member = np.zeros((types.n, CLASSES + 1))
-        member[np.arange(types.n), self.of] = 1
-        joint = member.T @ pairs @ member
-        mass = joint.sum(0) + 0.5 * (type_distinct @ member) + 0.5
-        prior = mass / mass.sum()
-        given = (joint + PRIOR * prior) / (joint.sum(1, keepdims=True) + PRIOR)
-        self.ratio = np.log10(given * self.divisor / mass)
-        self.type_of = np.array([types(w) for w in self.frequent], np.int64)
-
-
-def _frequent(counts: DataFrame, most: int = LOOKED_UP) -> list[tuple[bytes, int]]:
-    """The most frequent words, at most ``most``, down to a count that a small histogram of rounded counts gives.
-
-    Only these words travel; a sort with a limit would send as many from every partition. The others are joined anyway.
-    """
-    exact = 256  # lower counts have bins of their own, higher ones 64 bins each time they double
-    step = F.when(F.col("n") <= exact, F.col("n")).otherwise(F.floor(F.log2(F.col("n").cast("double")) * 64))
-    bins = counts.groupBy((F.col("n") > exact).alias("high"), step.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least"))
-    taken, least = 0, None
-    for r in sorted(bins.collect(), key=lambda r: -r["least"]):  # a few thousand rows at most
-        taken += r["words"]
-        if taken > most:
-            break
-        least = r["least"]
-    if least is None:
-        return []
-    return sorted(((bytes(r[0]), r[1]) for r in counts.where(F.col("n") >= least).collect()), key=lambda x: (-x[1], x[0]))
+        self.words, self.of, self.end = words, of, end
+        self.mass, self.once = mass, once
+        self.slot = 0.5 + 0.5 * once  # what unknown words have of each class
+        count = np.concatenate([counts, [end, 0]]).astype(float)
+        self.base = np.log10((count + 0.5) / self.divisor)
+        self.share = np.log10((count + 0.5) / mass[of])
+        self.share[-1] = 0.0
+
+    def transitions(self, joint: np.ndarray) -> np.ndarray:
+        """log10 P(class | class before); the last column is an unknown word's, the last row what follows one."""
+        k = CLASSES + 1
+        inner, mass = joint[:k, :k], self.mass[:k]
+        given = (inner + PRIOR * mass / mass.sum()) / (inner.sum(1, keepdims=True) + PRIOR)
+        mixed = (self.once[:k] + 1e-9) / (self.once[:k] + 1e-9).sum()
+        given = np.vstack([given, mixed @ given])
+        return np.log10(np.hstack([given, (given @ (self.slot / self.mass)[:k])[:, None]]))
 
 
 def learn(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the table of all counts."""
+    """The model but for its transitions, and ``h, n, c`` of the words that took no part in the sweeps."""
     counts = keep(count_words(texts), "word-counts")
-    tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    inner = counts.where(F.col("word") != F.lit(END))
-    top = _frequent(inner)
-    words = [w for w, _ in top[:WORD_TYPES]]
-    rest = inner.where(~F.col("word").isin(words)) if words else inner
-    ending = F.substring("word", -ENDING, ENDING)
-    tails = rest.groupBy(F.when(F.length("word") <= ENDING, F.col("word")).otherwise(ending).alias("e")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"))
-    tails = keep(tails, "endings")
-    common = [(bytes(r[0]), r[1], r[2]) for r in tails.orderBy(F.desc("n"), "e").limit(ENDING_TYPES).collect()]
-    rest_distinct = tails.agg(F.coalesce(F.sum("d"), F.lit(0))).first()[0]
-    types = _Types(words, [e for e, _, _ in common])
-    type_distinct = np.array([1] * len(words) + [d for _, _, d in common] + [rest_distinct - sum(d for _, _, d in common), int(tokens > 0)], float)
-    return Model(tokens, distinct, top, types, count_pairs(texts, types), type_distinct), counts
+    signed_end = int(np.uint64(END_HASH).astype(np.int64))
+    tokens, distinct, end = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("h") == signed_end, F.col("n"))), F.lit(0))).first()
+    least = max(LEAST, math.ceil(SHARE * tokens))
+    often = counts.where((F.col("n") >= least) & (F.col("h") != signed_end)).toPandas().sort_values(["n", "h"], ascending=[False, True])
+    words, n = Words(often["h"].to_numpy(np.int64)), often["n"].to_numpy(np.int64)
+    near = keep(neighbours(texts, words), "word-neighbours")
+    of, joint = cluster(near, words.size)
+    rest = keep(place_rest(texts, words, of, joint), "rare-words")
+    mass, once = np.full(ALL, 0.5), np.zeros(ALL)
+    np.add.at(mass, of[: words.size], n + 0.5)
+    mass[END] += end + 0.5 * (end > 0)
+    for r in rest.groupBy("c").agg(F.sum(F.col("n") + 0.5).alias("m"), F.sum((F.col("n") == 1).cast("bigint")).alias("o")).collect():  # a row a class
+        mass[r["c"]] += r["m"]
+        once[r["c"]] += r["o"]
+    return Model(tokens, distinct, words, n, end, of, mass + 0.5 * once, once), rest
+
+
+_CHAIN = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("at", pa.list_(pa.int32())), ("doc_id", pa.int64()), ("train", pa.bool_()), ("chain", pa.binary()), ("base", pa.float64()), ("share", pa.float64())])
+
+
+def chains(docs: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
+    """``doc_id, train, chain, n_known, base, share`` of every text: its tokens' classes, a byte each, and sums of logs.
+
+    The words of the sweeps are looked up; the others, folded within each text, join the table of rarer words.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        key = TaskContext.get().partitionId() << 33
+        for part in slices(batches):
+            columns: list[list] = [[] for _ in _CHAIN]
+            for doc_id, train, text in zip(part.column("doc_id").to_pylist(), part.column("_train").to_pylist(), part.column("_text").to_pylist()):
+                h = hashes(text)
+                ids = model.words(h)
+                rare = np.flatnonzero(ids == model.words.size + 1).astype(np.int32)
+                base = float(model.base[ids].sum() - len(rare) * model.base[-1] + model.base[-2])
+                # the text's own row goes with any word's: its key is spread, and nothing of the join is taken for it
+                row = (key, (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) - (1 << 63), None, doc_id, train, model.of[ids].tobytes() + bytes([END]), base, float(model.share[ids].sum() + model.share[-2]))
+                for held, value in zip(columns, row):
+                    held.append(value)
+                if len(rare):
+                    order = np.argsort(h[rare], kind="stable")
+                    own = h[rare][order]
+                    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                    spots = np.split(rare[order], first[1:])
+                    columns[0] += [key] * len(first)
+                    columns[1] += own[first].view(np.int64).tolist()
+                    columns[2] += spots
+                    for held in columns[3:]:
+                        held += [None] * len(first)
+                key += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CHAIN)], schema=_CHAIN)
+
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_train"), utf8().alias("_text"))
+    rows = arrow_pass(ids, look_up, "key bigint, h bigint, at array<int>, doc_id bigint, train boolean, chain binary, base double, share double")
+    joined = rows.join(rest, "h", "left")
+    found = joined.groupBy("key").agg(
+        F.max("doc_id").alias("doc_id"), F.max("train").alias("train"), F.max("chain").alias("chain"), F.max("base").alias("base"), F.max("share").alias("share"),
+        F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "n", "c"))).alias("rare"),
+    )
 
+    def weave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for part in batches:
+            known, base, share, woven = [], part.column("base").to_numpy().copy(), part.column("share").to_numpy().copy(), []
+            for i, (chain, rare) in enumerate(zip(part.column("chain").to_pylist(), part.column("rare").to_pylist())):
+                codes = np.frombuffer(chain, np.uint8).copy()
+                for x in rare:
+                    n, c, times = x["n"] or 0, x["c"], len(x["at"])
+                    base[i] += times * math.log10((n + 0.5) / model.divisor)
+                    if c is not None:
+                        codes[x["at"]] = c
+                        share[i] += times * math.log10((n + 0.5) / model.mass[c])
+                known.append(int((codes[:-1] != NONE).sum()) + (model.end > 0))
+                woven.append(codes.tobytes())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("train"), pa.array(woven, pa.binary()), pa.array(known, pa.int64()), pa.array(base), pa.array(share)], names=["doc_id", "train", "chain", "n_known", "base", "share"])
 
-_scorers: dict[int, tuple] = {}
+    return arrow_pass(found.drop("key"), weave, "doc_id bigint, train boolean, chain binary, n_known bigint, base double, share double")
 
 
-def _scorer(model: Model) -> tuple[Model, dict[bytes, int]]:
-    """The model with its lookup table, made once a worker and model."""
-    if id(model) not in _scorers:
-        _scorers.clear()
-        _scorers[id(model)] = (model, {w: i for i, w in enumerate(model.frequent)})
-    return _scorers[id(model)]
+def chain_pairs(rows: DataFrame) -> np.ndarray:
+    """How often each class follows each in the chains; an end stands before each."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ALL * ALL)
+        for part in batches:
+            for chain in part.column("chain").to_pylist():
+                codes = np.frombuffer(bytes([END]) + chain, np.uint8).astype(np.int64)
+                total += np.bincount(codes[:-1] * ALL + codes[1:], minlength=ALL * ALL)
+        yield _cells(total)
 
-_SCORED = pa.schema([("key", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("extra", pa.float64())])
+    return _matrix(arrow_pass(rows.select("chain"), run, "pair int, n double"))
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
+    """``doc_id, train, n_tokens, n_known, train_tokens, base_score, score, perplexity`` of documents with a ``_train`` flag.
+
+    Transitions are counted over the chains of those that have it; perplexity is per token, the end included.
+    """
+    rows = keep(chains(docs, model, rest), "class-chains")
+    shared = docs.sparkSession.sparkContext.broadcast(model.transitions(chain_pairs(rows.where("train"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, frequent = _scorer(shared.value)
-        types, of, last = model.types, model.of, int(model.of[model.types.end])
-        key = TaskContext.get().partitionId() << 33
-        for part in slices(batches):
-            rows: list[tuple] = []
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("_text").to_pylist()):
-                words = text.lower().split()
-                index = np.fromiter(map(frequent.get, words, repeat(-1)), np.int64, len(words))
-                rare = np.flatnonzero(index < 0).tolist()
-                kind = model.type_of[index] if len(model.type_of) else np.zeros(len(words), np.int64)
-                if rare:
-                    kind[rare] = [types(words[i]) for i in rare]
-                chain = np.concatenate([[last], of[kind], [last]])
-                base = float(model.base[index[index >= 0]].sum()) if len(rare) < len(words) else 0.0
-                extra = float(model.ratio[chain[:-1], chain[1:]].sum())
-                # a key of its own that no word equals, so that these rows spread as well
-                rows.append((key, b"\n%d" % key, 0, doc_id, len(words) + 1, len(words) - len(rare), base, extra))
-                rows += [(key, w, n, None, 0, 0, 0.0, 0.0) for w, n in Counter(words[i] for i in rare).items()]
-                key += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCORED)], schema=_SCORED)
-
-    schema = "key bigint, word binary, times bigint, doc_id bigint, n_tokens bigint, known bigint, base double, extra double"
-    rows = arrow_pass(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8().alias("_text")), run, schema)
-    joined = rows.join(counts.select("word", "n"), "word", "left")
-    n = F.coalesce("n", F.lit(0))
-    end = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    end_base = math.log10((end + 0.5) / model.divisor)
-    rare = F.when(F.col("times") > 0, F.col("times") * F.log10((n + 0.5) / F.lit(model.divisor))).otherwise(0.0)
-    sums = joined.groupBy("key").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), (F.sum(F.col("known") + F.when(n > 0, F.col("times")).otherwise(0)) + int(end > 0)).alias("n_known"),
-        (F.sum(F.col("base") + rare) + end_base).alias("base_score"), F.sum("extra").alias("extra"),
+        logs = shared.value
+        for part in batches:
+            found = np.zeros(part.num_rows)
+            for i, chain in enumerate(part.column("chain").to_pylist()):
+                codes = np.frombuffer(bytes([END]) + chain, np.uint8)
+                found[i] = logs[codes[:-1], codes[1:]].sum()
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], names=[*part.schema.names, "links"])
+
+    fields = "doc_id bigint, train boolean, chain binary, n_known bigint, base double, share double, links double"
+    total, size = F.col("share") + F.col("links"), F.length("chain").cast("bigint")
+    return arrow_pass(rows, run, fields).select(
+        "doc_id", "train", size.alias("n_tokens"), "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), total.alias("score"),
+        F.pow(F.lit(10.0), -total / size).alias("perplexity"),
     )
-    return sums.select("doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("extra")).alias("score"))
 
 
 def held_out_scores(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
     """Learn from the documents outside fold ``held`` and score all."""
-    train = docs.where(crc_fold(folds) != held).select(utf8().alias("_text"))
-    model, counts = learn(train)
-    found = score(docs, model, counts)
-    return found.select("doc_id", (crc_fold(folds) == held).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    split = docs.select("doc_id", "text", (crc_fold(folds) != held).alias("_train"))
+    model, rest = learn(split.where("_train").select(utf8().alias("_text")))
+    found = score(split, model, rest)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

@@ -210,31 +210,92 @@ def test_language_mixture(docs, odd, empty):
     assert {r["lang_pred"] for r in langid.held_out_predictions(unlabelled).collect()} == {"und"}
 
 
+def brute_words(text):
+    return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+
+
 def test_class_model(docs, odd):
-    table = docs.unionByName(odd.where("doc_id is not null").dropDuplicates(["doc_id"]).withColumn("doc_id", F.col("doc_id") + 10_000))
-    found = {r["doc_id"]: r for r in classlm.held_out_scores(table).collect()}
-    texts = {r["doc_id"]: (r["text"] or "").encode().lower() for r in table.collect()}
-    tokens = {d: [*re.findall(rb"[^\x20\x09-\x0D]+", t), None] for d, t in texts.items()}
-    counts = Counter(w for d, ws in tokens.items() if zlib.crc32(str(d).encode()) % 5 != 1 for w in ws)
+    """Counts and both scores against plain Python, with null ids, repeated rows and unknown words."""
+    table = docs.limit(150).unionByName(odd.withColumn("doc_id", F.col("doc_id") + 10_000)).withColumns({"h": F.lit(1), "chain": F.lit("x"), "a.b": F.lit(2)})
+    rows = [(r["doc_id"], [*brute_words(r["text"]), None]) for r in table.select("doc_id", "text").collect()]
+    in_training = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 != 1
+    counts = Counter(w for d, ws in rows if in_training(d) for w in ws)
     total, divisor = sum(counts.values()), sum(counts.values()) + 0.5 * (len(counts) + 1)
-    assert len(found) == len(texts)
-    for d, ws in tokens.items():
-        r = found[d]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(counts[w] > 0 for w in ws), total)
-        assert math.isclose(r["base_score"], sum(math.log10((counts[w] + 0.5) / divisor) for w in ws), rel_tol=1e-9)
-    held = [r for r in found.values() if r["held_out"]]
+    train = table.where(classlm.crc_fold(5) != 1).select(classlm.utf8().alias("_text"))
+    model, rest = classlm.learn(train)
+    rare = {r["h"]: (r["n"], r["c"]) for r in rest.collect()}
+    signed = lambda w: int(np.uint64(xxhash.xxh64_intdigest(w)).astype(np.int64))
+    of, k = {}, classlm.CLASSES + 1
+    for w, n in counts.items():
+        if w is None:
+            of[w] = classlm.END
+        elif n >= classlm.LEAST:
+            of[w] = int(model.of[model.words(np.array([xxhash.xxh64_intdigest(w)], np.uint64))[0]])
+        else:
+            assert rare[signed(w)][0] == n
+            of[w] = rare[signed(w)][1]
+    assert len(rare) == sum(n < classlm.LEAST and w is not None for w, n in counts.items()) and set(of.values()) <= set(range(k))
+    mass, once, joint = np.zeros(k), np.zeros(k), np.zeros((k, k))
+    for w, n in counts.items():
+        mass[of[w]] += n + 0.5
+        once[of[w]] += n == 1 and w is not None
+    slot = 0.5 + 0.5 * once
+    mass += slot
+    for d, ws in rows:
+        if in_training(d):
+            for a, b in zip([None, *ws], ws):
+                joint[of[a], of[b]] += 1
+    given = (joint + classlm.PRIOR * mass / mass.sum()) / (joint.sum(1, keepdims=True) + classlm.PRIOR)
+    given = np.vstack([given, (once / once.sum()) @ given])
+    want = Counter()
+    for d, ws in rows:
+        base = score = 0.0
+        before = classlm.END
+        for w in ws:
+            base += math.log10((counts[w] + 0.5) / divisor)
+            score += math.log10(given[before, of[w]] * (counts[w] + 0.5) / mass[of[w]] if counts[w] else given[before] @ (slot / mass))
+            before = of[w] if counts[w] else k
+        want[d, not in_training(d), len(ws), sum(counts[w] > 0 for w in ws), total, round(base, 4), round(score, 3), round(math.log(10 ** (-score / len(ws))), 3)] += 1
+    found = classlm.held_out_scores(table).collect()
+    assert Counter((*tuple(r)[:5], round(r["base_score"], 4), round(r["score"], 3), round(math.log(r["perplexity"]), 3)) for r in found) == want
+    assert (10 ** model.transitions(joint)[:, :k]).sum(1) == pytest.approx(1)  # classes; and within each, words and the slot:
+    assert all(math.isclose(sum(n + 0.5 for w, n in counts.items() if of[w] == c) + slot[c], mass[c]) for c in range(k))
+    held = [r for r in found if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_class_model_is_a_distribution(docs):
-    train = docs.limit(60).select(classlm.utf8().alias("_text"))
-    model, counts = classlm.learn(train)
-    words = [(bytes(r["word"]), r["n"]) for r in counts.collect()]
-    of = {w: model.of[model.types.end] if w == classlm.END else model.of[model.types(w)] for w, _ in words}
-    for before in (0, 5, classlm.CLASSES):
-        total = sum((n + 0.5) / model.divisor * 10 ** model.ratio[before, of[w]] for w, n in words)
-        total += sum(0.5 / model.divisor * 10 ** model.ratio[before, c] for c in range(classlm.CLASSES + 1))  # unknown words
-        assert math.isclose(total, 1.0, rel_tol=1e-9)
+def test_gains_are_changes_of_the_likelihood():
+    rng = np.random.default_rng(1)
+    pairs = rng.poisson(0.7, (31, 31)).astype(float)
+    of = np.append(rng.integers(0, 5, 30), classlm.END)
+    of[7] = classlm.NONE
+    member = np.eye(classlm.ALL)[of]
+    joint = member.T @ pairs @ member
+    into, out, own = (pairs - np.diag(np.diag(pairs))).T @ member, (pairs - np.diag(np.diag(pairs))) @ member, np.diag(pairs)
+    gain = classlm.gains(into, out, own, of, joint)
+    for w in range(30):
+        for c in (0, 2, 4, 11):
+            other = of.copy()
+            other[w] = c
+            m = np.eye(classlm.ALL)[other]
+            assert math.isclose(gain[w, c] - gain[w, of[w]], classlm.likelihood(m.T @ pairs @ m) - classlm.likelihood(joint), abs_tol=1e-6)
+
+
+def test_sweeps_find_the_classes(spark):
+    """Two kinds of words that take turns; more words than the driver clusters first."""
+    random.seed(8)
+    texts = []
+    for _ in range(400):
+        texts.append((bytearray(" ".join(f"{'ab'[i % 2]}{random.randint(0, 399)}" for i in range(random.randint(30, 60))).encode()),))
+    train = spark.createDataFrame(texts, "_text binary")
+    words = classlm.Words(np.array([xxhash.xxh64_intdigest(f"{k}{i}".encode()) for k in "ab" for i in range(400)], np.uint64))
+    near = classlm.neighbours(train, words).cache()
+    of, joint = classlm.cluster(near, words.size)
+    random_joint = classlm.class_pairs(near, np.append(np.arange(800) % classlm.CLASSES, [classlm.END, classlm.NONE]).astype(np.uint8))
+    assert classlm.likelihood(joint) > classlm.likelihood(random_joint) and np.allclose(joint, classlm.class_pairs(near, of))
+    kinds = [Counter(of[:400].tolist()), Counter(of[400:800].tolist())]
+    mixed = sum(min(kinds[0][c], kinds[1][c]) for c in range(classlm.CLASSES))
+    assert mixed <= 8
 
 
 def test_exchange_raises_likelihood():
@@ -244,8 +305,8 @@ def test_exchange_raises_likelihood():
         for b in range(20):
             pairs[a, b] = rng.poisson(30 if (a % 2) != (b % 2) else 1)
     pairs[20, :] = pairs[:, 20] = 1
-    of = classlm.exchange(pairs, 20, classes=2)
-    assert len({of[i] for i in range(0, 20, 2)}) == 1 and len({of[i] for i in range(1, 20, 2)}) == 1 and of[20] == 2
+    of = classlm.exchange(pairs, classes=2)
+    assert len({of[i] for i in range(0, 20, 2)}) == 1 and len({of[i] for i in range(1, 20, 2)}) == 1 and of[20] == classlm.END
 
 
 def test_class_model_empty(empty):
