@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 #: Rows of a text batch that one Python step handles at a time; keeps a worker's memory flat.
 SLICE = 256
@@ -20,11 +19,11 @@ ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A temporary one is made only where the session names none (tests)."""
+    """The folder all executors share. No other is made up: what lies on one machine is lost to the others."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quillon-")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
     return base
@@ -71,6 +70,21 @@ def arrow_pass(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, schema)
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names hold."""
+    return [df[f"`{c}`"] for c in df.columns]
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that what an operator adds beside it cannot clash with their names."""
+    return F.struct(*columns_of(df))
+
+
+def schema_with(df: DataFrame, added: str, without: str | None = None) -> StructType:
+    """The schema of ``df``, but for one column, with fields added."""
+    return StructType([f for f in df.schema.fields if f.name != without] + DataType.fromDDL(added).fields)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into short ones."""
     for batch in batches:

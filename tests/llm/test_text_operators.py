@@ -12,7 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillon.llm import classlm, components, langid, pii, quality, simhash
+from quillon.llm import classlm, components, langid, mixing, nearcopies, packing, pii, quality, simhash
+from quillon.llm.queries import WORD_BPE, tokenizer_path
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,38 +77,102 @@ def test_quality_verdict(spark):
     assert all(not r["base_failed"] for r in found.values())
 
 
-def test_quality_matches_numpy_steps(spark):
-    """The distributed concentration steps against the same steps over one group in memory."""
+def best_determinant(x, floors, starts=200, seed=0):
+    """The least log determinant that concentration from many random subsets finds, each step over exactly the closest rows."""
+    rng, best = np.random.default_rng(seed), math.inf
+    take = math.ceil(quality.CORE * len(x))
+    scatter = lambda core: quality.raised((np.cov(core.T, bias=True) * quality.consistency(quality.CORE))[None], floors)[0]
+    for _ in range(starts):
+        core, before = x[rng.choice(len(x), 6, replace=False)], math.inf
+        for _ in range(50):
+            now = np.linalg.slogdet(scatter(core))[1]
+            if len(core) == take and now >= before - 1e-9:
+                break
+            before = now if len(core) == take else math.inf
+            gap = x - core.mean(0)
+            d = np.einsum("ij,jk,ik->i", gap, np.linalg.inv(scatter(core)), gap)
+            core = x[np.argsort(d, kind="stable")[:take]]
+        best = min(best, before)
+    return best
+
+
+def test_quality_finds_the_least_determinant(spark):
+    """Two groups, one with a quarter of outliers in a cluster, against random starts in memory; small groups ask their language."""
     random.seed(5)
-    rows = [(i, " ".join(random.choice(["ab", "cde", "fghij", "k#"]) + str(random.randint(0, 400)) for _ in range(80)), "en", "s", 0) for i in range(300)]
+
+    def text(kind, n):
+        if kind == "far":
+            return " ".join("verylongwordindeed" + str(random.randint(0, 300)) + "##" for _ in range(n))
+        return " ".join(random.choice(["ab", "cde", "fghij", "k#"]) + str(random.randint(0, 400)) * random.randint(1, 3) for _ in range(n))
+
+    rows = [(i, text("near", random.randint(60, 200)), "en", "s", 0) for i in range(240)]
+    rows += [(1000 + i, text("far" if i % 5 == 0 else "near", 90), "en", "t", 0) for i in range(150)]
+    rows += [(2000 + i, text("near", 80), "en", "small", 0) for i in range(quality.MIN_GROUP - 1)]
+    rows += [(3000 + i, text("near", 80), "few", "u", 0) for i in range(3)]
     stats = quality.with_counts(spark.createDataFrame(rows, DOCS), ["doc_id", "lang", "source"]).cache()
-    _, params = quality.learn(stats)
-    got = params.collect()
-    assert len(got) == 1
-    x = np.array([list(r) for r in quality._grouped_columns(stats).where("not base_failed").select(*quality.FEATURES).collect()])
-    p, floors = x.shape[1], np.diag(np.square(quality.FLOORS))
-
-    def edge(v, share):
-        bins = np.sort(np.floor(v * 100))
-        return (bins[math.ceil(share * len(bins)) - 1] + 1) / 100
-
-    center = np.array([edge(x[:, i], 0.5) for i in range(p)])
-    mad = np.array([edge(np.abs(x[:, i] - center[i]), 0.5) for i in range(p)])
-    inverse = np.diag(1 / ((1.4826 * mad) ** 2 + np.square(quality.FLOORS)))
-    for step in range(quality.STEPS + 1):
-        d = np.einsum("ij,jk,ik->i", x - center, inverse, x - center)
-        share = 0.975 if step == quality.STEPS else quality.CORE
-        limit = quality.chi_square_quantile(share, p)
-        core = x[d <= limit] if step == quality.STEPS else x[np.log(d + 1e-9) <= edge(np.log(d + 1e-9), share)]
-        center = core.mean(0)
-        inverse = np.linalg.inv(np.cov(core.T, bias=True) * share / quality.chi_square_cdf(limit, p + 2) + floors)
-    assert np.allclose(got[0]["center"], center) and np.allclose(np.reshape(got[0]["inverse"], (p, p)), inverse)
+    marked = quality._grouped(stats).where("not base_failed").collect()
+    vectors = {}
+    for r in marked:
+        for g in (r["g"], r["g_lang"], r["g_all"]):
+            vectors.setdefault(g, []).append([r[x] for x in quality.FEATURES])
+    edge = lambda v: (np.sort(np.floor(np.array(v) * 100))[math.ceil(len(v) / 2) - 1] + 1) / 100
+    large = {g: np.array(v) for g, v in vectors.items() if len(v) >= quality.MIN_GROUP}
+    apart = sum(np.abs(v - [edge(v[:, i]) for i in range(4)]).sum(0) for v in large.values()) / sum(map(len, large.values()))
+    n, lines = (math.exp(edge(np.log([r[c] for r in marked]))) for c in ("n_words", "n_lines"))
+    floors = np.maximum(math.sqrt(math.pi / 2) * apart, [0, math.log(1 + 20 / n), math.log(1 + 10 / lines), math.log(1 + 60 / n)])
+    params = {r["g"]: r for r in quality.learn(stats).collect()}
+    assert set(params) == set(large) and len(params) == 4
+    for g, r in params.items():
+        x = np.array(vectors[g])
+        assert r["log_det"] <= best_determinant(x, floors) + 0.05
+        d = np.einsum("ij,jk,ik->i", x - r["center"], np.reshape(r["inverse"], (4, 4)), x - r["center"])
+        assert np.median(d) < 8  # most rows lie near
+    found = {r["doc_id"]: r for r in quality.verdict(stats, quality.learn(stats)).collect()}
+    assert all(not found[1000 + i]["kept"] for i in range(0, 150, 5)) and sum(not r["kept"] for d, r in found.items() if d < 1000) <= 6
+    for d, g in ((2000, "en"), (3000, "")):
+        r = found[d]
+        mark = next(m for m in marked if m["doc_id"] == d)
+        own = params[mark["g_lang"] if g else mark["g_all"]]
+        gap = np.array([mark[x] for x in quality.FEATURES]) - own["center"]
+        assert math.isclose(r["distance"], gap @ np.reshape(own["inverse"], (4, 4)) @ gap, rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_quality_without_an_estimate(spark):
+    rows = [(i, "word " * 10 + " ".join(f"w{j}" for j in range(60)), "en", "s", 0) for i in range(5)]
+    assert all(r["kept"] and r["distance"] is None for r in quality.assess(spark.createDataFrame(rows, DOCS)).collect())
+    same = quality.assess(spark.createDataFrame(rows * 10, DOCS)).collect()  # no statistic has a spread
+    assert len(same) == 50 and all(r["kept"] and r["distance"] < 1e-9 for r in same)
 
 
 def test_quality_empty_and_extra_columns(empty, odd):
     assert quality.assess(empty).count() == 0 and quality.keep_good(empty).count() == 0
-    clash = odd.withColumns({"kept": F.lit(1), "g": F.lit("x"), "n_words": F.lit(2), "_row": F.lit(3)})
-    assert quality.keep_good(clash).columns == clash.columns
+    good = spark_free_text()
+    clash = odd.unionByName(odd.sparkSession.createDataFrame([(50, good, "en", "a", 1)], DOCS)).withColumns({c: F.lit(2) for c in CLASHING})
+    kept = quality.keep_good(clash)
+    assert kept.columns == clash.columns and [r["doc_id"] for r in kept.collect()] == [50] and kept.first()["_row"] == 2
+
+
+CLASHING = ("kept", "g", "g_all", "center", "n_words", "_row", "row", "s", "_s", "_weight", "_hash", "_id", "_none", "fp", "_text", "spans", "a.b", "root", "block")
+
+
+def spark_free_text():
+    return " ".join(f"word{i}" for i in range(60))
+
+
+def test_stage_functions_keep_clashing_columns(odd):
+    """Whatever extra columns are named, the filters, the redaction and the mixing return them with their values."""
+    clash = odd.withColumns({c: F.lit(2) for c in CLASHING})
+    rows = lambda df: sorted(map(str, df.collect()))
+    one = simhash.keep_one(clash)
+    assert one.columns == clash.columns and all(r[f"{c}"] == 2 for r in one.collect() for c in CLASHING)
+    near = nearcopies.keep_one(clash)
+    assert near.columns == clash.columns and all(r[c] == 2 for r in near.collect() for c in CLASHING)
+    clean = pii.redacted(clash)
+    assert clean.columns == clash.columns and rows(clean.select("doc_id", "text")) == rows(pii.redacted(odd).select("doc_id", "text"))
+    mixed = mixing.mix(clash)
+    assert mixed.columns == [*clash.columns, "_n_tokens", "_epoch", "_position"] and mixed.where("_weight = 2").count() == mixed.count() >= odd.count()
+    packed = packing.pack(clash, tokenizer_path(WORD_BPE), 2)
+    assert packed.where("start = 0").count() == odd.count()
 
 
 def brute_spans(t):
@@ -136,6 +201,9 @@ def test_pii_added_spans_and_redaction(odd, empty):
     kinds = [(pii.KINDS[k], text[a:b]) for k, a, b in pii.spans(text)]
     assert ("account", "DE89 3704 0044 0532 0130 00") in kinds and ("account", "12345678") in kinds and ("login", "u:pw") in kinds
     assert not any("DE00" in x for _, x in kinds)
+    zeros = "0" * 5000
+    long = f"{zeros}1.1.1.1 {zeros}.0.0.0 1.2.3.{zeros}256 {zeros}4111111111111111"
+    assert [(k, long[a:b]) for k, a, b in pii.spans(long)] == [(1, f"{zeros}1.1.1.1"), (1, f"{zeros}.0.0.0")]
     found = {r["doc_id"]: r["text"] for r in pii.redacted(odd).collect()}
     assert found[7] == "mail [EMAIL] ip [IP], [CARD] [PHONE]" and found[1] is None and found[2] == "" and found[5] == LONG
     assert pii.find(empty, ["doc_id"]).count() == 0
