@@ -387,6 +387,15 @@ def learn(texts: DataFrame) -> tuple[Model, DataFrame]:
 _CHAIN = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("at", pa.list_(pa.int32())), ("doc_id", pa.int64()), ("train", pa.bool_()), ("chain", pa.binary()), ("base", pa.float64()), ("share", pa.float64())])
 
 
+def _batch(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+    """A batch of the schema above; columns that are not given are null."""
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in _CHAIN], schema=_CHAIN)
+
+
+def _bytes(codes: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(codes)])
+
+
 def chains(docs: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
     """``doc_id, train, chain, n_known, base, share`` of every text: its tokens' classes, a byte each, and sums of logs.
 
@@ -396,54 +405,60 @@ def chains(docs: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        key = TaskContext.get().partitionId() << 33
+        first_key = TaskContext.get().partitionId() << 33
         for part in slices(batches):
-            columns: list[list] = [[] for _ in _CHAIN]
-            for doc_id, train, text in zip(part.column("doc_id").to_pylist(), part.column("_train").to_pylist(), part.column("_text").to_pylist()):
-                h = hashes(text)
-                ids = model.words(h)
-                rare = np.flatnonzero(ids == model.words.size + 1).astype(np.int32)
-                base = float(model.base[ids].sum() - len(rare) * model.base[-1] + model.base[-2])
-                # the text's own row goes with any word's: its key is spread, and nothing of the join is taken for it
-                row = (key, (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) - (1 << 63), None, doc_id, train, model.of[ids].tobytes() + bytes([END]), base, float(model.share[ids].sum() + model.share[-2]))
-                for held, value in zip(columns, row):
-                    held.append(value)
-                if len(rare):
-                    order = np.argsort(h[rare], kind="stable")
-                    own = h[rare][order]
-                    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                    spots = np.split(rare[order], first[1:])
-                    columns[0] += [key] * len(first)
-                    columns[1] += own[first].view(np.int64).tolist()
-                    columns[2] += spots
-                    for held in columns[3:]:
-                        held += [None] * len(first)
-                key += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CHAIN)], schema=_CHAIN)
+            found = [hashes(x) for x in part.column("_text").to_pylist()]
+            size = np.array([len(x) for x in found], np.int64)
+            starts = np.cumsum(size) - size
+            h, of_text = np.concatenate(found), np.repeat(np.arange(len(size)), size)
+            ids = model.words(h)
+            rare = np.flatnonzero(ids == model.words.size + 1)
+            codes = np.full(len(h) + len(size), END, np.uint8)
+            codes[np.arange(len(h)) + of_text] = model.of[ids]
+            logs = model.base[ids]
+            logs[rare] = 0.0
+            keys = first_key + np.arange(len(size))
+            # a text's own row goes with any word's: its hash is spread, and nothing of the join is taken for it
+            spread = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            yield _batch(
+                len(size), key=pa.array(keys), h=pa.array(spread), doc_id=part.column("doc_id"), train=part.column("_train"), chain=_bytes(codes, np.append(starts, len(h)) + np.arange(len(size) + 1)),
+                base=pa.array(np.bincount(of_text, logs, len(size)) + model.base[-2]), share=pa.array(np.bincount(of_text, model.share[ids], len(size)) + model.share[-2]),
+            )
+            if len(rare):
+                rare = rare[np.lexsort((h[rare], of_text[rare]))]
+                own, text = h[rare], of_text[rare]
+                first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (text[1:] != text[:-1])))
+                at = pa.ListArray.from_arrays(pa.array(np.append(first, len(rare)).astype(np.int32)), pa.array((rare - starts[text]).astype(np.int32)))
+                yield _batch(len(first), key=pa.array(keys[text[first]]), h=pa.array(own[first].view(np.int64)), at=at)
+            first_key += len(size)
 
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_train"), utf8().alias("_text"))
     rows = arrow_pass(ids, look_up, "key bigint, h bigint, at array<int>, doc_id bigint, train boolean, chain binary, base double, share double")
     joined = rows.join(rest, "h", "left")
     found = joined.groupBy("key").agg(
         F.max("doc_id").alias("doc_id"), F.max("train").alias("train"), F.max("chain").alias("chain"), F.max("base").alias("base"), F.max("share").alias("share"),
-        F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "n", "c"))).alias("rare"),
+        F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("c", F.lit(NONE)).cast("smallint").alias("c")))).alias("rare"),
     )
 
     def weave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        mass = np.append(model.mass[: CLASSES + 1], 1.0)
         for part in batches:
-            known, base, share, woven = [], part.column("base").to_numpy().copy(), part.column("share").to_numpy().copy(), []
-            for i, (chain, rare) in enumerate(zip(part.column("chain").to_pylist(), part.column("rare").to_pylist())):
-                codes = np.frombuffer(chain, np.uint8).copy()
-                for x in rare:
-                    n, c, times = x["n"] or 0, x["c"], len(x["at"])
-                    base[i] += times * math.log10((n + 0.5) / model.divisor)
-                    if c is not None:
-                        codes[x["at"]] = c
-                        share[i] += times * math.log10((n + 0.5) / model.mass[c])
-                known.append(int((codes[:-1] != NONE).sum()) + (model.end > 0))
-                woven.append(codes.tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("train"), pa.array(woven, pa.binary()), pa.array(known, pa.int64()), pa.array(base), pa.array(share)], names=["doc_id", "train", "chain", "n_known", "base", "share"])
+            if not part.num_rows:
+                continue
+            rows, lists = part.num_rows, part.column("rare")
+            size = np.array([len(x) for x in part.column("chain").to_pylist()], np.int64)
+            starts = np.cumsum(size) - size
+            codes = np.frombuffer(b"".join(part.column("chain").to_pylist()), np.uint8).copy()
+            spots, n, c = lists.flatten().flatten()
+            text = np.repeat(np.arange(rows), np.diff(lists.offsets.to_numpy()))
+            times, n, c = np.diff(spots.offsets.to_numpy()), n.to_numpy().astype(float), c.to_numpy()
+            codes[np.repeat(starts[text], times) + spots.flatten().to_numpy()] = np.repeat(c, times)
+            base = part.column("base").to_numpy() + np.bincount(text, times * np.log10((n + 0.5) / model.divisor), rows)
+            share = part.column("share").to_numpy() + np.bincount(text, np.where(c == NONE, 0.0, times * np.log10((n + 0.5) / mass[c])), rows)
+            unknown = np.bincount(text, np.where(c == NONE, times, 0), rows).astype(np.int64)
+            known = size - (model.end == 0) - unknown
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("train"), _bytes(codes, np.append(starts, len(codes))), pa.array(known), pa.array(base), pa.array(share)], names=["doc_id", "train", "chain", "n_known", "base", "share"])
 
     return arrow_pass(found.drop("key"), weave, "doc_id bigint, train boolean, chain binary, n_known bigint, base double, share double")
 
