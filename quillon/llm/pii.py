@@ -9,7 +9,9 @@ adds: ``account`` (an IBAN with right check digits, or 6 to 17 digits right behi
 password in a URL). Spans count code points, end exclusive.
 
 Defined results: a null text counts as empty and has no span; texts of any length are taken whole; repeated rows each get
-their row.
+their row. Where items of several kinds share characters each is reported, and redaction makes one mark of them, named by
+the item that begins first, or the longer or earlier listed one where two begin together. Extra columns may have any name;
+``find`` returns only those asked for, which must not be named like its results.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, slices
+from .common import arrow_pass, schema_with, slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "login")
@@ -105,7 +107,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
                 m = _IP.match(text, at) if at >= done[1] else None
                 if m:
                     done[1] = m.end()
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                    if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m[0].split(".")):
                         found.append((1, at, m.end()))
                 runs = at + 1
                 while runs < len(text) and "0" <= text[runs] <= "9":
@@ -143,7 +145,7 @@ def join_spans(found: list[tuple[int, int, int]]) -> str:
 def redact(text: str, found: list[tuple[int, int, int]]) -> str:
     """The text with each item replaced by its kind in brackets; overlapping items become one, named by the first."""
     out, last = [], 0
-    for start, end, kind in sorted((s, e, k) for k, s, e in found):
+    for start, end, kind in sorted(((s, e, k) for k, s, e in found), key=lambda x: (x[0], -x[1], x[2])):
         if start < last:
             last = max(last, end)
             continue
@@ -169,17 +171,19 @@ def find(docs: DataFrame, columns: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names[:-1], *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
 
     kept = docs.select(*columns, F.coalesce("text", F.lit("")).alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + [f"n_{k} bigint" for k in BASE] + ["base_sha256 string", "spans string"]
-    return arrow_pass(kept, run, ", ".join(fields))
+    added = ", ".join([f"n_{k} bigint" for k in BASE] + ["base_sha256 string", "spans string"])
+    return arrow_pass(kept, run, schema_with(kept, added, "_text"))
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with every item in ``text`` replaced by its kind; other columns as they are, a null text stays null."""
 
+    at = docs.columns.index(text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            at = part.schema.names.index(text)
             clean = [x if x is None or not (found := spans(x)) else redact(x, found) for x in part.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(clean, pa.string()) if i == at else c for i, c in enumerate(part.columns)], names=part.schema.names)
 
-    return arrow_pass(docs, run, docs.schema)
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names of any kind stay outside
+    return arrow_pass(inner, run, inner.schema).toDF(*docs.columns)
