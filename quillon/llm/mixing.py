@@ -7,24 +7,27 @@ every pass over a source visits its blocks in an order of its own, whole passes
 at the block nearest to the budget. Documents follow their block, so no source is sorted or gathered.
 
 Defined results: null sources are a source of their own; null and blank texts count no token and follow their block;
-repeated rows are mixed as often as they occur; an empty table gives no rows. With fewer than two sources with tokens, the
-exponent is 1.
+repeated rows share a block and are mixed as often as they occur; an empty table gives no rows. With fewer than two sources
+with tokens, the exponent is 1. Sources with equal shares get equal weights; blocks are ordered by a hash, then by number.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_enough
+from .common import cut, small_enough, whole_row
 
 BLOCKS, SEED = 1024, 11
 #: How many times as often as the least repeated source any source may be repeated.
 REPEAT_LIMIT = 2.0
 #: Most rows of the plan (sources x blocks x passes) that are broadcast, about 60 bytes each.
 MOST_BROADCAST = 300_000
+#: Most sources whose shares the driver gathers to bisect the exponent.
+MOST_GATHERED = 100_000
 
 
 def words(text: str = "text") -> Column:
@@ -32,23 +35,40 @@ def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def _measures(shares: DataFrame, exponent: float) -> tuple[float, float]:
-    """Entropy of the weights at an exponent, and the ratio of the most to the least repeated source; one small job."""
-    raised = F.pow("share", F.lit(exponent))
-    z, zlog, high, low = shares.agg(F.sum(raised), F.sum(raised * F.log(raised)), F.max(raised / F.col("share")), F.min(raised / F.col("share"))).first()
-    return math.log(z) - zlog / z, float(high / low)
+def _measures(shares: DataFrame):
+    """Of an exponent: the entropy of the weights, and the ratio of the most to the least repeated source.
+
+    Over the gathered shares where these are few; else a small Spark job each time.
+    """
+    if small_enough(shares, MOST_GATHERED):
+        share = np.array([r["share"] for r in shares.select("share").collect()], float)
+
+        def here(exponent: float) -> tuple[float, float]:
+            raised = share**exponent
+            weights = raised / raised.sum()
+            return float(-(weights * np.log(weights)).sum()), float((raised / share).max() / (raised / share).min())
+
+        return here
+
+    def there(exponent: float) -> tuple[float, float]:
+        raised = F.pow("share", F.lit(exponent))
+        z, zlog, high, low = shares.agg(F.sum(raised), F.sum(raised * F.log(raised)), F.max(raised / F.col("share")), F.min(raised / F.col("share"))).first()
+        return math.log(z) - zlog / z, float(high / low)
+
+    return there
 
 
 def exponent(shares: DataFrame, entropy: float | None = None, repeat_limit: float | None = REPEAT_LIMIT, steps: int = 40) -> float:
     """The exponent in [0, 1] that meets the target: entropy falls and repetition nears 1 as it grows."""
+    if small_enough(shares, 1):
+        return 1.0
+    measures = _measures(shares)
     if entropy is not None:
-        meets = lambda x: _measures(shares, x)[0] >= entropy
+        meets = lambda x: measures(x)[0] >= entropy
         grow = True  # the largest exponent that still has the entropy
     else:
-        meets = lambda x: _measures(shares, x)[1] <= repeat_limit
+        meets = lambda x: measures(x)[1] <= repeat_limit
         grow = False  # the smallest exponent within the limit
-    if shares.limit(2).count() < 2:
-        return 1.0
     low, high = 0.0, 1.0
     if meets(1.0 if grow else 0.0):
         return 1.0 if grow else 0.0
@@ -93,14 +113,19 @@ def plan(sized: DataFrame, entropy: float | None = None, repeat_limit: float | N
     return cut(each.where(taken).select("s", "block", "weight", "epoch", position.alias("position")))
 
 
+MEASURES = ("_n_tokens", "_weight", "_epoch", "_position")
+
+
 def mix(docs: DataFrame, source: str = "source", tokens: Column | None = None, **target: float) -> DataFrame:
     """The documents, each as often as its source's weight asks, with ``_n_tokens, _weight, _epoch, _position``.
 
-    Sorting by ``_position`` gives a stream in which every stretch holds the sources close to their weights.
+    Sorting by ``_position`` gives a stream in which every stretch holds the sources close to their weights. A column of the
+    documents that is named like one of the four stays, and that measure is left out.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("~"))
-    sized = docs.withColumns({"_s": key, "_block": F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(BLOCKS)).cast("int"), "_n_tokens": words() if tokens is None else tokens})
-    visits = plan(sized.select(F.col("_s").alias("s"), F.col("_block").alias("block"), F.col("_n_tokens").alias("n_tokens")), **target)
-    visits = visits.select(F.col("s").alias("_s"), F.col("block").alias("_block"), F.col("weight").alias("_weight"), F.col("epoch").alias("_epoch"), F.col("position").alias("_position"))
-    joined = sized.join(F.broadcast(visits) if small_enough(visits, MOST_BROADCAST) else visits, ["_s", "_block"])
-    return joined.select(*docs.columns, "_n_tokens", "_weight", "_epoch", "_position")
+    block = F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(BLOCKS)).cast("int")
+    sized = docs.select(key.alias("s"), block.alias("block"), (words() if tokens is None else tokens).alias("n_tokens"), whole_row(docs).alias("row"))
+    visits = plan(sized.select("s", "block", "n_tokens"), **target)
+    joined = sized.join(F.broadcast(visits) if small_enough(visits, MOST_BROADCAST) else visits, ["s", "block"])
+    measures = [F.col(m[1:]).alias(m) for m in MEASURES if m not in docs.columns]
+    return joined.select("row.*", *measures)
