@@ -7,6 +7,7 @@ each is linked with the bucket's smallest only. Copies were folded into one fing
 
 Defined results: null and empty texts and texts without a word have fingerprint zero and are linked like others; texts under
 the shingle length give one shingle; ``component_id`` is null only where every document of a component has a null id.
+Repeated rows each get their row. Extra columns may have any name; results named like a column asked for are not allowed.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, cut, slices, utf8
+from .common import arrow_pass, cut, schema_with, slices, utf8, whole_row
 from .components import components
 
 BITS, SEED = 64, 42
+#: A fingerprint of more than one in this many rows is joined by broadcast.
+HOT = 1000
 #: Shingles whose bits are unpacked at a time, for texts of any length.
 BLOCK = 1 << 16
 
@@ -59,8 +62,7 @@ def with_fingerprints(docs: DataFrame, columns: list[str], words: int = 3) -> Da
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], names=[*part.schema.names[:-1], "fp"])
 
     kept = docs.select(*columns, utf8().alias("_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["fp bigint"])
-    return arrow_pass(kept, run, schema)
+    return arrow_pass(kept, run, schema_with(kept, "fp bigint", "_text"))
 
 
 def ball(radius: int) -> list[int]:
@@ -92,23 +94,35 @@ def near_duplicates(docs: DataFrame, columns: list[str] | None = None, words: in
     ``root`` is the component's smallest fingerprint, which tells components apart even where documents share an id.
     """
     marked = cut(with_fingerprints(docs, columns or ["doc_id"], words))
-    firsts = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    firsts = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")))
+    total = firsts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     roots = components(links(firsts.select("fp"), radius))
     labelled = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     labels = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(labels, "root").select("fp", "root", "component_id")
-    return marked.join(named, "fp")
+    named = cut(labelled.join(labels, "root").select("fp", "root", "component_id", (F.col("rows") * HOT > total).alias("hot")))
+    # One fingerprint may be that of a third of all rows (texts without a word share one): such are fewer than HOT, and broadcast.
+    hot, cold = F.broadcast(named.where("hot").drop("hot")), named.where("not hot").drop("hot")
+    return marked.join(hot, "fp").unionByName(marked.join(hot, "fp", "left_anti").join(cold, "fp"))
+
+
+def one_row(docs: DataFrame, key: str = "_hash") -> tuple[DataFrame, list[str]]:
+    """Documents as ``_row`` behind the keys they are chosen by, wholly equal ones once, and these keys.
+
+    Equal rows are folded in each task before they are moved, so that repeated rows do not meet in number.
+    """
+    keys = ["_id", "_none", key]
+    rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.xxhash64("text").alias(key), whole_row(docs).alias("_row"))
+    return rows.dropDuplicates(keys), keys
 
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """One document of each component, with all its columns: the smallest doc_id's (null last), then the smallest text hash.
 
-    Texts move once, to meet the list of winners; which of wholly equal rows stays does not matter.
+    Texts move once, to meet the list of winners; which of the rows of equal id and text stays does not matter.
     """
-    tagged = docs.withColumn("_hash", F.xxhash64("text"))
-    found = near_duplicates(tagged, ["doc_id", "_hash"], words, radius)
+    slim = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    found = near_duplicates(slim, ["doc_id", "_hash"], words, radius)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("_hash").alias("_hash"))).alias("w"))
     winners = best.select(F.coalesce(F.col("w.doc_id"), F.lit(0)).alias("_id"), F.col("w.n").alias("_none"), F.col("w._hash").alias("_hash"))
-    left = tagged.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_none", F.col("doc_id").isNull())
-    kept = left.join(winners, ["_id", "_none", "_hash"], "left_semi")
-    return kept.dropDuplicates(["_id", "_none", "_hash"]).select(*docs.columns)
+    rows, keys = one_row(docs)
+    return rows.join(winners, keys, "left_semi").select("_row.*")
