@@ -6,8 +6,9 @@ the best again on the original vectors. Lists are cut into chunks and their quer
 list that holds a third of all rows, or draws a third of all queries, is many small tasks.
 
 Defined results: vectors that are null, of a length other than the most frequent one, all zero, or hold a null or non-finite
-component take no part; rows that repeat a vec_id are each candidates, but not for a query of that id; of a repeated query id
-the smallest vector asks. With fewer candidates than asked for, all are returned: probing goes on until enough rows are met.
+component take no part, nor do rows without a vec_id; rows that repeat a vec_id are each candidates, but not for a query of
+that id; of a repeated query id the smallest vector asks. Only ``vec_id`` and ``embedding`` are read, besides what the query
+condition reads, so other columns may have any name; the condition sees ``vec_id`` and ``v``. Ties go to the smaller vec_id. With fewer candidates than asked for, all are returned: probing goes on until enough rows are met.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ from .common import cut, keep
 
 #: Expected rows of the training sample, and the most that is ever taken to the driver.
 SAMPLE, MOST_SAMPLE = 12_000, 24_000
-#: Most lists; parts of a vector; rows measured exactly per query and chunk.
-LISTS, PARTS, RERANKED = 1024, 16, 64
+#: Most lists; parts of a vector; rows measured exactly per query.
+LISTS, PARTS, RERANKED = 1024, 16, 128
 #: Share of the sample's own nearest neighbours that the probed lists must hold, and sample rows that ask for theirs. The
 #: sample's neighbours lie farther away than those among all rows, so the number of probes errs on the high side.
 TARGET, ASKED = 0.96, 400
 #: Rows of a chunk of a list, and queries of a block.
-CHUNK, QUERY_BLOCK = 20_000, 2_000
+CHUNK, QUERY_BLOCK = 20_000, 10_000
 SEED = 7
 
 
@@ -125,7 +126,7 @@ def _coded(rows: DataFrame, index: Index, dim: int) -> DataFrame:
             packed = pa.array([c.tobytes() for c in codes], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(of.astype(np.int32)), packed], names=["vec_id", "v", "list", "code"])
 
-    return rows.mapInArrow(run, "vec_id bigint, v array<double>, list int, code binary")
+    return rows.mapInArrow(run, "vec_id bigint, v array<double>, list int, code binary").withColumn("row", F.monotonically_increasing_id())
 
 
 def _probes(queries: DataFrame, index: Index, sizes: np.ndarray, dim: int, k: int, probes: int) -> DataFrame:
@@ -134,32 +135,33 @@ def _probes(queries: DataFrame, index: Index, sizes: np.ndarray, dim: int, k: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers, sizes = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            q = _matrix(batch.column("v"), dim)
-            order = np.argsort(((q[:, None, :] - centers[None]) ** 2).sum(2) if len(q) * centers.size < 1 << 24 else (centers * centers).sum(1)[None] - 2 * (q @ centers.T), axis=1, kind="stable")
-            met = np.cumsum(sizes[order], 1)
-            # lists until both the number of probes and enough rows are met
-            need = np.maximum(probes, (met < 2 * k + 1).sum(1) + 1)
-            take = [o[: n][sizes[o[: n]] > 0] for o, n in zip(order, need)]
-            at = np.repeat(np.arange(len(q)), [len(t) for t in take])
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(np.concatenate(take).astype(np.int32))], names=["query_id", "q", "list"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                q = _matrix(part.column("v"), dim)
+                order = np.argsort((centers * centers).sum(1)[None] - 2 * (q @ centers.T), axis=1, kind="stable")
+                met = np.cumsum(sizes[order], 1)
+                # lists until both the number of probes and enough rows are met
+                need = np.maximum(probes, (met < 2 * k + 1).sum(1) + 1)
+                take = [o[:n][sizes[o[:n]] > 0] for o, n in zip(order, need)]
+                i = pa.array(np.repeat(np.arange(len(q)), [len(t) for t in take]))
+                yield pa.RecordBatch.from_arrays([part.column("vec_id").take(i), part.column("v").take(i), pa.array(np.concatenate(take).astype(np.int32))], names=["query_id", "q", "list"])
 
     return queries.mapInArrow(run, "query_id bigint, q array<double>, list int")
 
 
-def _search(index_shared, dim: int, k: int, reranked: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+def _search(index_shared, dim: int, reranked: int):
+    """The rows of a chunk nearest to each query of a block by the distance tables; only codes and ids are at hand."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("row", pa.int64()), ("rough", pa.float64())])
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         index, number = index_shared.value, key[0].as_py()
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        ids = left.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], _matrix(left.column("v"), dim)[order]
+        ids, rows = left.column("vec_id").to_numpy(), left.column("row").to_numpy()
+        order = np.lexsort((rows, ids))
+        ids, rows = ids[order], rows[order]
         codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order].T.copy()
-        out: list[tuple] = []
+        found: list[pa.Table] = []
         for query_id, q in zip(right.column("query_id").to_pylist(), _matrix(right.column("q"), dim)):
             rough = np.zeros(len(ids))
             for table, code in zip(index.tables(q, number), codes):
@@ -172,10 +174,8 @@ def _search(index_shared, dim: int, k: int, reranked: int):
             else:
                 best = np.arange(len(ids))
             best = best[np.isfinite(rough[best])]
-            exact = np.sqrt(((x[best] - q) ** 2).sum(1))
-            for i in np.lexsort((ids[best], exact))[:k]:
-                out.append((query_id, ids[best[i]], exact[i]))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema) if out else schema.empty_table()
+            found.append(pa.table([pa.array(np.full(len(best), query_id)), pa.array(ids[best]), pa.array(rows[best]), pa.array(rough[best])], schema=schema))
+        return pa.concat_tables(found)
 
     return run
 
@@ -183,7 +183,8 @@ def _search(index_shared, dim: int, k: int, reranked: int):
 def search(rows: DataFrame, is_query: Column, k: int = 10, probes: int | None = None, reranked: int = RERANKED) -> DataFrame:
     """``query_id, rank, vec_id, score``: the nearest rows found for each query row.
 
-    ``probes`` is calibrated on the sample unless given.
+    ``probes`` is calibrated on the sample unless given. Chunks and blocks meet with codes alone; vectors are fetched, once
+    each, for the ``reranked`` rows that are nearest by codes over all probed lists of a query.
     """
     spark = rows.sparkSession
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -204,13 +205,17 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, probes: int | None =
     blocks = F.array(*[F.lit(max(1, -(-drawn.get(i, 0) // QUERY_BLOCK))) for i in range(len(sizes))])
     salt = lambda *c: F.xxhash64(*c)
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = coded.where(F.col("list").isin(list(drawn)) if len(drawn) < len(sizes) else F.lit(True))
-    left = left.withColumn("chunk", F.pmod(salt("vec_id", "v"), chunks[F.col("list")]).cast("int")).withColumn("block", each(blocks[F.col("list")]))
+    left = coded.where(F.col("list").isin(list(drawn)) if len(drawn) < len(sizes) else F.lit(True)).select("row", "vec_id", "list", "code")
+    left = left.withColumn("chunk", F.pmod(salt("row"), chunks[F.col("list")]).cast("int")).withColumn("block", each(blocks[F.col("list")]))
     right = asked.withColumn("block", F.pmod(salt("query_id"), blocks[F.col("list")]).cast("int")).withColumn("chunk", each(chunks[F.col("list")]))
     keys = ["list", "chunk", "block"]
-    run = _search(spark.sparkContext.broadcast(index), dim, k, reranked)
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id bigint, vec_id bigint, score double")
-    ranked = near.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)"))
+    run = _search(spark.sparkContext.broadcast(index), dim, reranked)
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id bigint, vec_id bigint, row bigint, rough double")
+    near = near.withColumn("place", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY rough, vec_id, row)")).where(F.col("place") <= reranked)
+    fetched = near.select("query_id", "row").join(coded.select("row", "vec_id", "v"), "row").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    gaps = F.zip_with("v", "q", lambda a, b: (a - b) * (a - b))
+    scored = fetched.select("query_id", "vec_id", "row", F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x)).alias("score"))
+    ranked = scored.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id, row)"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
