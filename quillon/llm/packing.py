@@ -71,7 +71,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, mos
     names = [*_COLUMNS, *["ids"] * ids, "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encode = TaskContext.get().partitionId(), encoder(tokenizer).encode
+        part, encode = TaskContext.get().partitionId(), encoder(tokenizer).encode_all
         windows, made = Windows(window, most), 0
         rows: list[tuple] = []
 
@@ -90,8 +90,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, mos
             return out
 
         for batch in slices(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                raw = encode(text or "") + end
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), encode([x or "" for x in batch.column("text").to_pylist()])):
+                raw += end
                 n = len(raw) // 4
                 for start in range(0, n, window):
                     piece = raw[4 * start : 4 * (start + window)]

@@ -87,9 +87,12 @@ def numbered(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     """``rows`` with ``row``, their place in ``order`` from 0, and how many there are.
 
     Ranges of the order are sorted apart; a row's number is its place in its range behind the sizes of the ranges before.
-    The ranges are computed once, so that both uses see the same.
+    The ranges are computed once, so that both uses see the same. A last key, of where a row was read, cuts runs of equal
+    rows into ranges too; which of equal rows comes first does not show.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    rows = rows.withColumn("_spread", F.xxhash64(F.monotonically_increasing_id()))
+    ranged = rows.repartitionByRange(*order, "_spread").sortWithinPartitions(*order, "_spread").drop("_spread")
+    ranged = ranged.withColumn("_place", F.monotonically_increasing_id())
     ranged = cut(ranged)
     part, place = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))

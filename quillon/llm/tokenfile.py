@@ -178,7 +178,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> Data
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer).encode
+        part, seq, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer).encode_all
         raw, ids, lengths, held = [], [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -187,8 +187,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> Data
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "file": [name], "n_ids": [held]}, schema=_MANIFEST)
 
         for batch in slices(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                found = encode(text or "") + end
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encode([x or "" for x in batch.column("text").to_pylist()])):
+                found += end
                 raw.append(found)
                 ids.append(doc_id)
                 lengths.append(len(found) // 4)
@@ -199,8 +199,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> Data
         if ids:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("_h"))
-    ordered = ordered.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").drop("_h")
+    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("_h"), F.xxhash64(F.monotonically_increasing_id()).alias("_spread"))
+    # The last key cuts runs of rows equal in id and text into several ranges; which of them comes first does not show.
+    ordered = ordered.repartitionByRange("doc_id", "_h", "_spread").sortWithinPartitions("doc_id", "_h", "_spread").drop("_h", "_spread")
     return cut(arrow_pass(ordered, run, "part bigint, seq bigint, file string, n_ids bigint"))
 
 

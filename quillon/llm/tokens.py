@@ -1,9 +1,13 @@
 """Token ids of whole texts with public tokenizer files, remembering what words encode to.
 
-A byte-level BPE cuts a text into pieces before it merges, so the ids of a text are those of its pieces in a row. Words
-repeat: an encoder keeps the packed ids of the space-separated chunks and of the pieces it has met, up to a bound, and asks
-the library's model for new pieces only. Texts with characters outside the sets below, or with a special token's string,
-go to the library whole. Either way the ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+Words repeat, so a text is cut where every tokenizer of the two kinds cuts it as well, and the library is asked only for the
+chunks not met lately, many at a time:
+
+* a byte-level BPE lets a single space begin a piece, and a single line break be one, when no white space is beside it;
+* a tokenizer that lower-cases and drops white space cuts at every space.
+
+Chunks keep whatever else they hold, so normalising, cutting into pieces and merging are all the library's. The ids are those
+of ``Tokenizer.encode(text, add_special_tokens=False)``. Texts with a special token's string go to the library whole.
 """
 
 from __future__ import annotations
@@ -13,35 +17,19 @@ import struct
 from array import array
 from functools import lru_cache
 
-#: Letters, white space and other characters whose class is certain in the cutting patterns.
-_LETTERS = "A-Za-zÀ-ÖØ-öø-įıĲ-ɏ"
-_KNOWN = re.compile(f"[\t-\r\x20-\x7e{_LETTERS}¡¿×÷€‐-‧‰-⁞]*")
-_BYTE_PIECES = re.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \t-\r0-9{_LETTERS}]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
-)
-_WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \t-\r0-9{_LETTERS}]+")
-#: A space or line break beside other white space; such texts are cut by the pattern alone.
-_LOOSE = re.compile(r"[ \n][\t-\r ]|[\t-\r]\n")
-_LOOSE_PAIRS = ("  ", " \n", "\n ", "\n\n")  # the same, where a text has no other white space
-
-
-def _loose(text: str) -> bool:
-    if "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text:
-        return _LOOSE.search(text) is not None
-    return any(pair in text for pair in _LOOSE_PAIRS)
-
-
-#: Chunks in a generation of an encoder's memory (about 200 bytes each). A full one is kept as the old one, from which chunks
-#: that occur again move on; the old one before it is forgotten.
-REMEMBERED = 600_000
-_SPACE_MARK = "Ġ"  # the byte-level alphabet's space
-
-
-def _byte_alphabet() -> dict[int, str]:
-    """The byte-level alphabet's rule: printable bytes stand for themselves, the others follow from U+0100 on."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(printable)]
-    return {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+#: White space beside a space or a line break; Python's set holds Unicode's. Such texts are cut by the pattern below.
+_LOOSE = re.compile(r"[ \n]\s|[^\S \n][ \n]")
+_CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)")
+_SPACES = str.maketrans("\n\t\r", "   ")
+#: Bytes of chunks and ids in a generation of an encoder's memory, and the longest chunk it keeps. A full generation becomes
+#: the old one, from which chunks that occur again move on; the old one before it is forgotten.
+REMEMBERED, LONGEST = 24 << 20, 64
+_EACH = 120  # about what a remembered chunk takes beside its characters and ids
+#: The byte-level alphabet's space (a fixed value), and words that try a file.
+_SPACE_MARK = "Ġ"
+_PROBE = "a I the Word antidisestablishmentarianism qzxj UPPER lowerUPPER ll s t"
+#: Chunks that the library is handed at a time.
+BATCH = 1 << 14
 
 
 class Encoder:
@@ -51,94 +39,81 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._token = self.tokenizer.model.tokenize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = self.tokenizer.normalizer is not None
-        self._alphabet = _byte_alphabet()
-        self._chunks: dict[str, bytes] = {}
+        self.drops_spaces = self.ids(["a b"]) == [b"".join(self.ids(["a", "b"]))]
+        self._known: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
-        # Guards against a tokenizer of another kind: it is then asked for whole texts.
-        probe = "It's a  probe:\nÉté (2024), naïve words' end. "
-        self._known_kind = True
+        self._held = 0
+        # Whether the model alone gives the ids of words is tried for each file.
+        self._merge, self.merges_words, probe = self.tokenizer.model.tokenize, False, _PROBE.split()
         try:
-            self._known_kind = self.encode(probe) == self._whole(probe)
-        except Exception:
-            self._known_kind = False
-        self._chunks.clear()
-
-    def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _piece(self, piece: str) -> bytes:
-        """Ids of one piece, from the model. Printable ASCII stands for itself in the byte-level alphabet."""
-        if not piece.isascii() or not piece.isalpha():
-            piece = piece.encode().decode("latin-1").translate(self._alphabet)
-        return array("I", [t.id for t in self._token(piece)]).tobytes()
-
-    def _cut(self, text: str) -> bytes:
-        """Ids of known characters, by the pattern's pieces."""
-        out = []
-        for piece in (_WORD_PIECES.findall(text) if self.words else _BYTE_PIECES.findall(text)):
-            ids = self._pieces.get(piece)
-            if ids is None:
-                if len(self._pieces) >= REMEMBERED:
-                    self._pieces.clear()
-                ids = self._pieces[piece] = self._piece(piece)
-            out.append(ids)
-        return b"".join(out)
-
-    def _mark(self, mark: str) -> bytes:
-        ids = self._pieces.get(mark)
-        return self._cut(mark) if ids is None else ids
-
-    def _new(self, chunk: str) -> bytes:
-        """Ids of a chunk not met lately. Words, with at most one mark behind, need no pattern."""
-        if chunk[:1] == "\n":
-            return self._mark("\n") + self._cut(chunk[1:])
-        if self.words:
-            chunk = chunk.lower()
-        if chunk.isalpha():
-            if self.words:
-                return self._piece(chunk)
-            if chunk.isascii():
-                return array("I", [t.id for t in self._token(_SPACE_MARK + chunk)]).tobytes()
-            return self._piece(" " + chunk)
-        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
-            word = chunk[:-1]
-            ids = self._chunks.get(word)
-            if ids is None:
-                ids = self._chunks[word] = self._new(word)
-            return ids + self._mark(chunk[-1])
-        return self._cut(chunk if self.words else " " + chunk)
+            self.merges_words = [self._merged(x) for x in probe] == self._asked(probe, False)
+        except Exception:  # a model of another kind
+            self.merges_words = False
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts by the library alone."""
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
+
+    def _chunks(self, text: str) -> list[str]:
+        """Pieces whose ids in a row are the text's. All but the first go without the space they begin with, if any."""
+        if any(s in text for s in self.special):
+            return [text]
+        if self.drops_spaces:
+            return [x for x in text.translate(_SPACES).split(" ") if x]
+        if text[-1:].isspace() or _LOOSE.search(text):
+            first, *others = _CUT.split(text)
+            return [first, *(x[1:] if x[0] == " " else x for x in others)]
+        return text.replace("\n", " \n").split(" ")
+
+    def _learn(self, new: list[str], at_front: bool) -> list[bytes]:
+        """Ids of chunks not met lately; inside a text of a byte-level tokenizer they begin with a space or a line break.
+
+        A chunk of ASCII letters is one piece, which the library's model merges without the steps before.
+        """
+        if not at_front and self.merges_words:
+            found: list = [self._merged(x) if x.isascii() and x.isalpha() else None for x in new]
+            others = [i for i, ids in enumerate(found) if ids is None]
+            for i, ids in zip(others, self._asked([new[i] for i in others], False)):
+                found[i] = ids
+            return found
+        return self._asked(new, at_front)
+
+    def _merged(self, word: str) -> bytes:
+        return array("I", [t.id for t in self._merge(word.lower() if self.drops_spaces else _SPACE_MARK + word)]).tobytes()
+
+    def _asked(self, new: list[str], at_front: bool) -> list[bytes]:
+        asked = new if at_front or self.drops_spaces else [x if x[:1] == "\n" else " " + x for x in new]
+        return [ids for at in range(0, len(asked), BATCH) for ids in self.ids(asked[at : at + BATCH])]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        cut = [self._chunks(x) if x else [] for x in texts]
+        fronts = [b""] * len(cut)
+        if not self.drops_spaces:
+            full = [i for i, c in enumerate(cut) if c]
+            for i, ids in zip(full, self._learn([cut[i][0] for i in full], True)):
+                fronts[i] = ids
+            cut = [c[1:] for c in cut]
+        look_up = self._known.get
+        found = [list(map(look_up, c)) for c in cut]
+        holes = [(c, out) for c, out in zip(cut, found) if None in out]
+        new = {x: self._old.get(x) for c, out in holes for x, ids in zip(c, out) if ids is None}
+        missing = [x for x, ids in new.items() if ids is None]
+        new.update(zip(missing, self._learn(missing, False)))
+        for c, out in holes:
+            out[:] = [new[x] if ids is None else ids for x, ids in zip(c, out)]
+        for x, ids in new.items():
+            if len(x) <= LONGEST:
+                self._known[x] = ids
+                self._held += len(x) + len(ids) + _EACH
+        if self._held > REMEMBERED:
+            self._old, self._known, self._held = self._known, {}, 0
+        return [b"".join([front, *out]) for front, out in zip(fronts, found)]
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self._known_kind or not _KNOWN.fullmatch(text) or any(s in text for s in self.special):
-            return self._whole(text)
-        if self.words:
-            chunks, first = text.split(), b""
-        elif text[-1] in " \n" or _loose(text):
-            return self._cut(text)
-        else:
-            # each space stands right before a character that isn't white space, and so begins a piece; a single line break
-            # is a piece of its own, and begins a chunk without a space
-            first, *chunks = text.replace("\n", " \n").split(" ")
-            first = self._cut(first)
-        known = self._chunks
-        if len(known) > REMEMBERED:
-            self._old, known = known, {}
-            self._chunks = known
-        out = list(map(known.get, chunks))
-        if None in out:
-            old = self._old
-            for at, ids in enumerate(out):
-                if ids is None:
-                    chunk = chunks[at]
-                    out[at] = known[chunk] = known.get(chunk) or old.get(chunk) or self._new(chunk)
-        return first + b"".join(out)
+        return self.encode_all([text])[0]
 
 
 @lru_cache(4)
