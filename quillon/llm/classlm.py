@@ -114,7 +114,8 @@ def neighbours(texts: DataFrame, words: Words) -> DataFrame:
             code, n = np.unique(ids[:-1] * width + ids[1:], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array((code // width).astype(np.int32)), pa.array((code % width).astype(np.int32)), pa.array(n)], names=["l", "r", "n"])
 
-    pairs = arrow_pass(texts.select("_text"), run, "l int, r int, n bigint").groupBy("l", "r").agg(F.sum("n").alias("n"))
+    # Tasks have folded their pairs already, so these are exchanged as they are.
+    pairs = arrow_pass(texts.select("_text"), run, "l int, r int, n bigint").repartition("l", "r").groupBy("l", "r").agg(F.sum("n").alias("n"))
     right = F.struct(F.col("l").alias("w"), F.col("r").alias("v"))
     left = F.struct(F.col("r").alias("w"), (-1 - F.col("l")).alias("v"))
     sides = pairs.select(F.explode(F.when(F.col("r") < words.size, F.array(right, left)).otherwise(F.array(right))).alias("s"), "n")
@@ -317,15 +318,26 @@ def place_rest(texts: DataFrame, words: Words, of: np.ndarray, joint: np.ndarray
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joint = shared.value[2]
+
+        def classes(row: np.ndarray, code: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+            into = np.bincount(row * ALL + code // ALL, n, size * ALL).reshape(-1, ALL)
+            out = np.bincount(row * ALL + code % ALL, n, size * ALL).reshape(-1, ALL)
+            return best_classes(into, out, np.zeros(size), np.full(size, NONE), joint)
+
+        every = np.arange(ALL * ALL)
+        of_one = classes(every, every, np.ones(ALL * ALL), ALL * ALL)  # for words seen once, most of these, by their neighbours
         for part in batches:
             lists = part.column("code")
-            size = part.num_rows
-            row = np.repeat(np.arange(size), np.diff(lists.offsets.to_numpy()))
+            size, each = part.num_rows, np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(size), each)
             code, n = lists.flatten().to_numpy(), part.column("n").flatten().to_numpy()
-            into = np.bincount(row * ALL + code // ALL, n, size * ALL).reshape(-1, ALL)
-            out = np.bincount(row * ALL + code % ALL, n, size * ALL).reshape(-1, ALL)
-            c = best_classes(into, out, np.zeros(size), np.full(size, NONE), joint)
-            yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(np.bincount(row, n, size).astype(np.int64)), pa.array(c.astype(np.int16))], names=["h", "n", "c"])
+            total = np.bincount(row, n, size).astype(np.int64)
+            once = total == 1
+            c = np.empty(size, np.int64)
+            c[once] = of_one[code[once[row]]]
+            more = ~once[row]
+            c[~once] = classes((np.cumsum(~once) - 1)[row[more]], code[more], n[more], int((~once).sum()))
+            yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(total), pa.array(c.astype(np.int16))], names=["h", "n", "c"])
 
     met = arrow_pass(texts.select("_text"), meet, "h bigint, code int, n bigint")
     # One exchange by word; a word's list holds each pair of classes once, and no word of this table is frequent.

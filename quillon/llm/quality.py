@@ -47,6 +47,8 @@ REWEIGHT, CONFIDENCE = 0.975, 0.999
 MIN_GROUP = 5 * P
 #: Most groups whose parameters are broadcast (about 200 bytes each); beyond it the join is left to Spark.
 MOST_BROADCAST = 20_000
+#: The key of the group of all rows.
+ALL_ROWS = "\x03"
 _BIN = 100.0
 STARTS = 3
 
@@ -290,7 +292,7 @@ def fit(cells: DataFrame, finest: np.ndarray) -> DataFrame:
 
 def _grouped(stats: DataFrame) -> DataFrame:
     """Rows with the keys of their group, of its language and of all, the features, and the base rule."""
-    keys = {"g": group_key("lang", "source"), "g_lang": F.concat(F.lit("\x02"), group_key("lang")), "g_all": F.lit("\x03")}
+    keys = {"g": group_key("lang", "source"), "g_lang": F.concat(F.lit("\x02"), group_key("lang")), "g_all": F.lit(ALL_ROWS)}
     return stats.withColumns(keys | dict(zip(FEATURES, features())) | {"base_failed": base_failed()})
 
 
@@ -308,17 +310,18 @@ def verdict(stats: DataFrame, params: DataFrame, confidence: float = CONFIDENCE)
     """``stats`` with ``base_failed``, squared ``distance`` (null where no estimate applies) and ``kept``."""
     rows = _grouped(stats)
     broadcast = small_enough(params, MOST_BROADCAST)
-    levels = ("g", "g_lang", "g_all")
-    params = params.withColumnRenamed("g", "_g")
+    levels = ("g", "g_lang")
+    whole = params.where(F.col("g") == ALL_ROWS).select("center", "inverse").collect()  # one row
+    params = params.where(F.col("g") != ALL_ROWS).withColumnRenamed("g", "_g")
     for level in levels:
         own = params.select(F.col("_g").alias(level), F.struct("center", "inverse").alias(f"p_{level}"))
         rows = rows.join(F.broadcast(own) if broadcast else own, level, "left")
-    best = F.coalesce(*[F.col(f"p_{level}") for level in levels])
+    best = F.coalesce(*[F.col(f"p_{level}") for level in levels], *[F.struct(F.lit(r["center"]).alias("center"), F.lit(r["inverse"]).alias("inverse")) for r in whole])
     rows = rows.withColumn("center", best["center"]).withColumn("inverse", best["inverse"])
     rows = rows.withColumn("distance", F.when(F.col("center").isNotNull(), squared_distance()))
     limit = chi_square_quantile(confidence, P)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit)
-    return rows.withColumn("kept", kept).drop("center", "inverse", *levels, *[f"p_{level}" for level in levels], *FEATURES)
+    return rows.withColumn("kept", kept).drop("center", "inverse", "g_all", *levels, *[f"p_{level}" for level in levels], *FEATURES)
 
 
 def assess(docs: DataFrame) -> DataFrame:

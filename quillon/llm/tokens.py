@@ -20,14 +20,13 @@ from functools import lru_cache
 #: White space beside a space or a line break; Python's set holds Unicode's. Such texts are cut by the pattern below.
 _LOOSE = re.compile(r"[ \n]\s|[^\S \n][ \n]")
 _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)")
-_SPACES = str.maketrans("\n\t\r", "   ")
 #: Bytes of chunks and ids in a generation of an encoder's memory, and the longest chunk it keeps. A full generation becomes
 #: the old one, from which chunks that occur again move on; the old one before it is forgotten.
-REMEMBERED, LONGEST = 24 << 20, 64
+REMEMBERED, LONGEST = 96 << 20, 64
 _EACH = 120  # about what a remembered chunk takes beside its characters and ids
-#: The byte-level alphabet's space (a fixed value), and words that try a file.
-_SPACE_MARK = "Ġ"
-_PROBE = "a I the Word antidisestablishmentarianism qzxj UPPER lowerUPPER ll s t"
+#: Words that the model alone may merge, and some that try a file.
+_PROBE = "a I the Word antidisestablishmentarianism qzxj UPPER lowerUPPER ll s t end. end, a; Word: what? Oh! Été, naïve ÿ"
+_WORD = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)").fullmatch
 #: Chunks that the library is handed at a time.
 BATCH = 1 << 14
 
@@ -36,7 +35,7 @@ class Encoder:
     """Ids of whole texts as packed little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -45,9 +44,12 @@ class Encoder:
         self._old: dict[str, bytes] = {}
         self._held = 0
         # Whether the model alone gives the ids of words is tried for each file.
-        self._merge, self.merges_words, probe = self.tokenizer.model.tokenize, False, _PROBE.split()
+        self._merge, self.merges_words, probe = self.tokenizer.model.tokenize, False, _PROBE.split() + ["\nNext"] * (not self.drops_spaces)
+        alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self._space, self._line = alphabet(" ")[0][0], alphabet("\n")[0][0]  # how the model spells them
+        self._bytes = {c: alphabet(chr(c))[0][0] for c in range(0xC0, 0x100)}
         try:
-            self.merges_words = [self._merged(x) for x in probe] == self._asked(probe, False)
+            self.merges_words = [self._merged(*_WORD(x).groups()) for x in probe] == self._asked(probe, False)
         except Exception:  # a model of another kind
             self.merges_words = False
 
@@ -61,7 +63,7 @@ class Encoder:
         if any(s in text for s in self.special):
             return [text]
         if self.drops_spaces:
-            return [x for x in text.translate(_SPACES).split(" ") if x]
+            return list(filter(None, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
         if text[-1:].isspace() or _LOOSE.search(text):
             first, *others = _CUT.split(text)
             return [first, *(x[1:] if x[0] == " " else x for x in others)]
@@ -70,18 +72,30 @@ class Encoder:
     def _learn(self, new: list[str], at_front: bool) -> list[bytes]:
         """Ids of chunks not met lately; inside a text of a byte-level tokenizer they begin with a space or a line break.
 
-        A chunk of ASCII letters is one piece, which the library's model merges without the steps before.
+        A chunk of Latin letters is one piece, and a line break before or a mark behind it another, which the library's model
+        merges without the steps before.
         """
         if not at_front and self.merges_words:
-            found: list = [self._merged(x) if x.isascii() and x.isalpha() else None for x in new]
+            found: list = [self._merged(*m.groups()) if (m := _WORD(x)) else None for x in new]
             others = [i for i, ids in enumerate(found) if ids is None]
             for i, ids in zip(others, self._asked([new[i] for i in others], False)):
                 found[i] = ids
             return found
         return self._asked(new, at_front)
 
-    def _merged(self, word: str) -> bytes:
-        return array("I", [t.id for t in self._merge(word.lower() if self.drops_spaces else _SPACE_MARK + word)]).tobytes()
+    def _merged(self, line: str, word: str, mark: str) -> bytes:
+        merge = self._merge
+        word = word.lower() if self.drops_spaces else word
+        word = word if word.isascii() else word.translate(self._bytes)
+        if self.drops_spaces:
+            ids = [t.id for t in merge(word)]
+        elif line:
+            ids = [t.id for t in merge(self._line)] + [t.id for t in merge(word)]
+        else:
+            ids = [t.id for t in merge(self._space + word)]
+        if mark:
+            ids += [t.id for t in merge(mark)]
+        return array("I", ids).tobytes()
 
     def _asked(self, new: list[str], at_front: bool) -> list[bytes]:
         asked = new if at_front or self.drops_spaces else [x if x[:1] == "\n" else " " + x for x in new]
