@@ -46,6 +46,8 @@ CLASSES, SEEDS, SWEEPS, PRIOR = 64, 512, 8, 20.0
 GAIN = 5e-4
 #: Tokens that a task folds at a time.
 WINDOW = 1 << 22
+#: Tokens that are looked up at a time.
+STEP = 1 << 18
 #: Words whose moves are weighed at a time.
 BLOCK = 512
 #: Codes of classes beside the ordinary ones: the end of a text, and words without a class.
@@ -74,12 +76,19 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and how often each occurs; sorts in place."""
+    values.sort()
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+    return values[first], np.diff(np.append(first, len(values)))
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """``h, n`` over the ``_text`` bytes, ends included; folded in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens in _runs(batches):
-            h, n = np.unique(tokens[1:], return_counts=True)
+            h, n = _counted(tokens[1:])
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     return arrow_pass(texts.select("_text"), run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
@@ -95,8 +104,12 @@ class Words:
         self.keys, self.ids = np.append(h, np.uint64(END_HASH))[order], order.astype(np.int32)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, h), self.size)
-        return np.where(self.keys[at] == h, self.ids[at], np.int32(self.size + 1))
+        found = np.empty(len(h), np.int32)
+        for at in range(0, len(h), STEP):
+            part = h[at : at + STEP]
+            near = np.minimum(np.searchsorted(self.keys, part), self.size)
+            found[at : at + STEP] = np.where(self.keys[near] == part, self.ids[near], np.int32(self.size + 1))
+        return found
 
 
 def neighbours(texts: DataFrame, words: Words) -> DataFrame:
@@ -110,8 +123,12 @@ def neighbours(texts: DataFrame, words: Words) -> DataFrame:
         words = shared.value
         width = words.size + 2
         for tokens in _runs(batches):
-            ids = words(tokens).astype(np.int64)
-            code, n = np.unique(ids[:-1] * width + ids[1:], return_counts=True)
+            ids = words(tokens)
+            code = ids[:-1].astype(np.int64)
+            code *= width
+            code += ids[1:]
+            del ids, tokens
+            code, n = _counted(code)
             yield pa.RecordBatch.from_arrays([pa.array((code // width).astype(np.int32)), pa.array((code % width).astype(np.int32)), pa.array(n)], names=["l", "r", "n"])
 
     # Tasks have folded their pairs already, so these are exchanged as they are.

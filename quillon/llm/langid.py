@@ -7,7 +7,9 @@ of the number of trigrams. The prediction is the language with the largest propo
 
 Defined results: ``und`` with score 0 where a text is null or has no letter, or where nothing could be learned; equal
 proportions go to the language that sorts first. Empty, short and very long texts are taken whole. Languages are trained
-from the text alone; ids and sources take no part in a prediction.
+from the text alone; ids and sources take no part in a prediction. Repeated rows each get their row, and count as often in
+training. Extra columns may have any name; ``predict`` returns only those asked for. More than ``MOST_LANGUAGES`` different
+labels are refused: the model's table would outgrow a worker.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, crc_fold, slices, small_enough
+from .common import arrow_pass, crc_fold, schema_with, slices, small_enough
 
 #: Buckets of the trigram hash.
 BUCKETS = 1 << 16
@@ -160,8 +162,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(mixtures, pa.string())], names=[*part.schema.names[:-1], "lang_pred", "score", "mixture"])
 
     kept = docs.select(*columns, F.col("text").alias("_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["lang_pred string", "score double", "mixture string"])
-    return arrow_pass(kept, run, schema)
+    return arrow_pass(kept, run, schema_with(kept, "lang_pred string, score double, mixture string", "_text"))
 
 
 def held_out_predictions(docs: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:

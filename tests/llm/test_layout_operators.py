@@ -203,5 +203,42 @@ def test_pipeline(spark, sf_dir):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_pipeline_rows_equal_plain_python(spark, tmp_path):
+    """Planted short texts, junk, copies, near copies, personal data and sources of unequal size through all five stages."""
+    random.seed(12)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(random.randint(3, 8)))
+    rows = []
+    for i in range(60):
+        text = " ".join(word() for _ in range(random.randint(70, 160)))
+        rows.append((i, text + (" mail me@x.org now" if i % 7 == 0 else ""), "en", "big" if i < 45 else "small", 0))
+    rows += [(100, "too short to stay", "en", "big", 0), (101, None, "en", "big", 0), (102, " ".join(["same words again"] * 40), "en", "big", 0), (103, " ".join(f"{word()}###***$$$" for _ in range(90)), "en", "big", 0)]
+    rows += [(200, rows[3][1], "en", "big", 0), (201, rows[4][1].replace(rows[4][1].split()[50], "changed", 1), "en", "small", 0), (200, rows[3][1], "en", "big", 0)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    shingled = {}
+    for d, text, *_ in rows:
+        if d in (100, 101, 102, 103):
+            continue
+        words = text.split()
+        shingled.setdefault(d, (text, {tuple(words[i : i + 5]) for i in range(len(words) - 4)}))
+    stay = []
+    for d in sorted(shingled):
+        if not any(jaccard(shingled[d][1], shingled[o][1]) >= 0.8 for o in stay):
+            stay.append(d)
+    assert sorted({r["doc_id"] for r in found}) == stay and {200, 201}.isdisjoint(stay)
+    library = Tokenizer.from_file(tokenizer_path(WORD_BPE))
+    copies = Counter(r["doc_id"] for r in found if r["start"] == 0)
+    assert all(copies[d] == 1 for d in stay if d < 45) and max(copies.values()) == 2
+    for r in found:
+        ids = np.array([*library.encode(shingled[r["doc_id"]][0].replace("me@x.org", "[EMAIL]"), add_special_tokens=False).ids, 2], "<u4")
+        piece = ids[r["start"] : r["start"] + r["length"]]
+        assert (r["length"], r["doc_tokens"], r["ids_crc32"]) == (len(piece), len(ids), zlib.crc32(piece.tobytes()))
+    assert Counter(r["doc_id"] for r in found for _ in range(r["length"])) == Counter({d: n * next(r["doc_tokens"] for r in found if r["doc_id"] == d) for d, n in copies.items()})
+
+
 def test_every_operator_is_registered():
     assert [next(n for n in QUERIES if n.startswith(f"op{i}_")) for i in range(1, 11)]

@@ -278,6 +278,30 @@ def test_language_mixture(docs, odd, empty):
     assert {r["lang_pred"] for r in langid.held_out_predictions(unlabelled).collect()} == {"und"}
 
 
+def test_language_set_is_the_best_of_all_sets(docs):
+    """Every set of languages by expectation-maximisation, penalised by its size, against the set that is grown."""
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    by = {x: " ".join(r["text"] for r in docs.where(F.col("lang") == x).limit(3).collect()) for x in model.languages}
+    texts = [by[x][:900] for x in by] + [by[a][:1500] + " " + by[b][:1500] for a in by for b in by if a < b] + ["ab", "Ωω " * 20, " ".join(by[x][:2000] for x in by)]
+    for text in texts:
+        found = langid.trigrams(text)
+        kinds, times = np.unique(found, return_counts=True)
+        p, n = model.p[kinds].astype(float), len(found)
+        penalty = langid.PENALTY * 0.5 * np.log(n + 1)
+        scored = {}
+        for code in range(1, 1 << len(model.languages)):
+            chosen = [i for i in range(len(model.languages)) if code >> i & 1]
+            scored[tuple(chosen)] = model._em(p[:, chosen], times.astype(float), n, np.full(len(chosen), 1 / len(chosen)))[1] - penalty * (len(chosen) - 1)
+        own = tuple(np.flatnonzero(model.proportions(found)).tolist())
+        assert scored[own] >= max(scored.values()) - 0.05 * penalty
+
+
+def test_equal_proportions_go_to_the_first_language():
+    counts = np.ones((3, langid.BUCKETS))
+    share = langid.Model(["a", "b", "c"], counts).proportions(langid.trigrams("some words here"))
+    assert share.tolist() == [1.0, 0.0, 0.0]
+
+
 def brute_words(text):
     return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
 
