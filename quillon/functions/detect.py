@@ -148,6 +148,29 @@ def destination_for_host(host: Column | str) -> Column:
     return first_match(F.coalesce(col(host), F.lit("")), SITE_RULES, F.lit("rich"))
 
 
+#: Fixed value: types of inputs that hold prose; passwords, numbers and dates are never touched.
+TEXT_INPUTS = ("", "text", "search", "url", "tel", "email")
+
+
+def paste_target(f: dict[str, Column]) -> Column:
+    """``STRUCT<kind, single_line, empty>`` of what receives a paste, or null where it is to be left alone.
+
+    Keys: tag, type, locked (read-only or disabled), editable, plaintext_only, host, width, height, visible_text. Whether an
+    editor is blank is unknown (null) where its text is not in the page.
+    """
+    field = F.when((f["tag"] == "input") & f["type"].isin(*TEXT_INPUTS), "input").when(f["tag"] == "textarea", "textarea")
+    is_field = f["tag"].isin("input", "textarea")
+    kind = F.when(is_field, F.when(~f["locked"], field)).when(f["editable"], F.when(f["plaintext_only"], "plaintext-editable").otherwise("rich"))
+    hidden = (f["host"] == "docs.google.com") | (f["width"] < 4) | (f["height"] < 4)
+    empty = F.when(~is_field & ~hidden, is_blank(f["visible_text"]))
+    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), (kind == "input").alias("single_line"), empty.alias("empty")))
+
+
+def suppressed(ms_since_shortcut: Column) -> Column:
+    """A paste right behind the plain-paste shortcut is left alone."""
+    return F.coalesce(ms_since_shortcut < 1000, F.lit(False))
+
+
 def detect_destination(host: Column, kind: Column, code_editor: Column, override: Column, aware: Column) -> Column:
     """Destination id, or null where pasting is left to a code editor."""
     return (
@@ -179,7 +202,7 @@ def skip_reason(c: dict[str, Column]) -> Column:
     """
     return (
         F.when(~F.coalesce(c["active"], F.lit(False)), "disabled")
-        .when(c["ms_since_shortcut"] < 1000, "plain-paste-shortcut")
+        .when(suppressed(c["ms_since_shortcut"]), "plain-paste-shortcut")
         .when(~c["editable"], "not-editable")
         .when(c["destination"].isNull(), "code-editor")
         .when(~c["has_data"], "no-data")

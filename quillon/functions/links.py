@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, utf16_length
+from .text import col, let, utf16_length
 
 _CONTROL = r"[\x00-\x20\x7f-\x9f]+"
 #: Absolute addresses of the four safe schemes. Web schemes need a host; more slashes, or none, are accepted as browsers do.
@@ -18,23 +18,23 @@ def safe_url(raw: Column | str) -> Column:
 
     Address parsing is approximated by a pattern: hosts are not normalised, and odd characters in one are refused.
     """
-    cleaned = F.regexp_replace(col(raw), _CONTROL, "")
-    candidate = F.when(cleaned.rlike(r"(?i)\Awww\."), F.concat(F.lit("https://"), cleaned)).otherwise(cleaned)
-    return F.when(candidate.rlike(_SAFE), candidate)
+    candidate = lambda c: F.when(c.rlike(r"(?i)\Awww\."), F.concat(F.lit("https://"), c)).otherwise(c)
+    return let(let(F.regexp_replace(col(raw), _CONTROL, ""), candidate), lambda c: F.when(c.rlike(_SAFE), c))
 
 
 def safe_image_source(raw: Column | str) -> Column:
-    url = safe_url(raw)
-    return F.when(col(raw).rlike(_IMAGE_DATA), col(raw)).when(url.rlike(r"\Ahttps?:"), url)
+    return F.when(col(raw).rlike(_IMAGE_DATA), col(raw)).otherwise(let(safe_url(raw), lambda url: F.when(url.rlike(r"\Ahttps?:"), url)))
 
 
 def trim_url(url: Column | str) -> Column:
     """Without punctuation behind it, and without closing brackets that nothing opened."""
-    trimmed = F.regexp_replace(col(url), r"[.,;:!?*_~]+\z", "")
-    opened, closed = F.regexp_count(trimmed, F.lit(r"\(")), F.regexp_count(trimmed, F.lit(r"\)"))
-    tail = F.length(F.regexp_extract(trimmed, r"(\)*)\z", 1))
-    drop = F.greatest(F.lit(0), F.least(tail, closed - opened))
-    return F.substring(trimmed, F.lit(1), F.length(trimmed) - drop)
+
+    def balanced(u: Column) -> Column:
+        surplus = F.regexp_count(u, F.lit(r"\)")) - F.regexp_count(u, F.lit(r"\("))
+        drop = F.greatest(F.lit(0), F.least(F.length(F.regexp_extract(u, r"(\)*)\z", 1)), surplus))
+        return F.substring(u, F.lit(1), F.length(u) - drop)
+
+    return let(F.regexp_replace(col(url), r"[.,;:!?*_~]+\z", ""), balanced)
 
 
 def bare_urls(text: Column | str) -> Column:

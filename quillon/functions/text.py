@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the white space of web scripting (wider than Java's \s), for use inside a character class.
 SPACE = r"\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Line breaks, characters that do not show, spaces that do not wrap, ends of sentences, page markers, numbers.
 LINE_BREAKS = r"\r\n?|[\u2028\u2029]"
 INVISIBLE = r"[\u200b\u2060\ufeff\u00ad]"
 ODD_SPACES = r"[\u00a0\u2007\u202f\u2009\u200a\u3000]"
-#: Characters that close a sentence, or a line that is complete.
 TERMINAL = r'[.!?:;"”’)\]]\z'
 PAGE_MARKER = rf"(?i)\A[{SPACE}]*(?:.{{0,80}}?[{SPACE}]{{2,}})?page[{SPACE}]+[0-9]{{1,4}}(?:[{SPACE}]+(?:of|/)[{SPACE}]+[0-9]{{1,4}})?[{SPACE}]*\z"
 NUMERIC_CELL = r"\A[-+$€£¥]?[0-9][0-9,.]*%?\z|\A[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}\z"
@@ -20,6 +20,11 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, and stands once in the plan, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def count_matches(text: Column | str, pattern: str) -> Column:
     return F.regexp_count(col(text), F.lit(pattern)).cast("bigint")
 
@@ -134,9 +139,10 @@ def ago(at: Column, now: Column) -> Column:
     return F.when(minutes < 1, "now").when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m"))).when(hours < 24, F.concat(hours.cast("string"), F.lit("h"))).otherwise(F.concat(F.floor(hours / 24 + 0.5).cast("string"), F.lit("d")))
 
 
-_MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?"
-_POINT = rf"(?:{_MONTH} )?(?:19|20)[0-9]{{2}}"
-TRAILING_DATE = rf"(?i)\A(.*?[^{SPACE},|–—-])[{SPACE}]*(?:[,|–—-][{SPACE}]*|\t+|  +)({_POINT}(?:[{SPACE}]*[-–—][{SPACE}]*(?:{_POINT}|present|current))?)[{SPACE}]*\z"
+#: Months, points in time, and a date behind a separator at the end of a text.
+_MONTH = rf"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?[{SPACE}]+"
+_POINT = rf"(?:{_MONTH})?(?:19|20)[0-9]{{2}}"
+TRAILING_DATE = rf"(?is)\A(.*?)[{SPACE}]*(?:[·|•,–—-]|[{SPACE}]{{2,}}|\t)[{SPACE}]*({_POINT}[{SPACE}]*(?:[-–—]|to)[{SPACE}]*(?:{_POINT}|present|current|now)|{_POINT})[{SPACE}]*\z"
 
 
 def split_trailing_date(text: Column | str) -> Column:

@@ -6,20 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: How long a copy explains a paste.
-MOST_AGE = "INTERVAL 30 MINUTES"
+MOST_AGE_SECONDS = 30 * 60
 
 
 def attribute(copies: DataFrame, pastes: DataFrame, keys: list[str]) -> DataFrame:
     """``pastes`` with ``origin``: the site of the latest copy before, if it is young enough and of the same content.
 
-    Both have ``keys, ts, fingerprint``; copies have ``site``, pastes ``paste_id``. An as-of join by one window over their
-    union: only the latest copy counts, so an older copy of the same content doesn't match. At equal times copies come first.
+    Both have ``keys, ts, fingerprint``; copies have ``site``, pastes ``paste_id``. An as-of join by windows over their union:
+    only the latest copy counts, so an older copy of the same content doesn't match. At equal times copies come first.
+    Windows hold a key's events of half an hour: older copies explain nothing, so each copy stands in its own stretch of time
+    and in the next, and a key with any number of events is many windows.
     """
-    held = copies.select(*keys, "ts", F.lit(0).alias("_order"), F.lit(None).cast("bigint").alias("paste_id"), "fingerprint", F.struct("ts", "fingerprint", "site").alias("_copy"))
-    asked = pastes.select(*keys, "ts", F.lit(1).alias("_order"), "paste_id", "fingerprint", F.lit(None).cast(held.schema["_copy"].dataType).alias("_copy"))
-    by = Window.partitionBy(*keys).orderBy("ts", "_order", F.col("_copy.fingerprint"), F.col("_copy.site"))
+    stretch = lambda ts: F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / MOST_AGE_SECONDS)
+    held = copies.select(*keys, "ts", F.explode(F.array(stretch("ts"), stretch("ts") + 1)).alias("_stretch"), F.lit(0).alias("_order"), F.lit(None).cast("bigint").alias("paste_id"), "fingerprint", F.struct("ts", "fingerprint", "site").alias("_copy"))
+    asked = pastes.select(*keys, "ts", stretch("ts").alias("_stretch"), F.lit(1).alias("_order"), "paste_id", "fingerprint", F.lit(None).cast(held.schema["_copy"].dataType).alias("_copy"))
+    by = Window.partitionBy(*keys, "_stretch").orderBy("ts", "_order", F.col("_copy.fingerprint"), F.col("_copy.site"))
     rows = held.unionByName(asked).withColumn("_last", F.last("_copy", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    fits = (F.col("_last.fingerprint") == F.col("fingerprint")) & (F.col("fingerprint") != "") & (F.col("_last.ts") >= F.col("ts") - F.expr(MOST_AGE))
+    fits = (F.col("_last.fingerprint") == F.col("fingerprint")) & (F.col("fingerprint") != "") & (F.col("_last.ts") >= F.col("ts") - F.expr(f"INTERVAL {MOST_AGE_SECONDS} SECONDS"))
     return rows.where(F.col("_order") == 1).select(*keys, "paste_id", "ts", "fingerprint", F.when(fits, F.col("_last.site")).alias("origin"))
 
 

@@ -45,10 +45,9 @@ _HOSTS = """(SELECT DISTINCT lower(regexp_extract(url, '(?i)^https?://(?:[^/?#@]
 _SITE = """CASE WHEN regexp_matches(host, '^docs\\.google\\.com$') THEN '{0}' WHEN host = 'mail.google.com' THEN '{1}' WHEN regexp_matches(host, '(^|\\.)slack\\.com$') THEN '{2}'
   WHEN regexp_matches(host, '(^|\\.)notion\\.so$|\\.notion\\.site$') THEN '{3}' ELSE {4} END"""
 _EVENTS = "(SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"
-_SUPPLIERS = """(SELECT s_nationkey, list(CAST(s_suppkey AS VARCHAR) ORDER BY s_suppkey) AS k, list(s_name ORDER BY s_suppkey) AS v,
-  CAST(greatest(3, max(length(CAST(s_suppkey AS VARCHAR)))) AS INT) AS wk, CAST(greatest(4, max(length(s_name))) AS INT) AS wv FROM supplier GROUP BY s_nationkey)"""
+_SUPPLIERS = """(SELECT s_suppkey // 50 AS page, list(CAST(s_suppkey AS VARCHAR) ORDER BY s_suppkey) AS k, list(s_name ORDER BY s_suppkey) AS v,
+  CAST(greatest(3, max(length(CAST(s_suppkey AS VARCHAR)))) AS INT) AS wk, CAST(greatest(4, max(length(s_name))) AS INT) AS wv FROM supplier GROUP BY 1)"""
 _ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
-_CELL = "border:1px solid #999;padding:4px 8px"
 _ALIGNED = "rpad('Key', wk, ' ') || '  Name' || chr(10) || repeat('-', wk) || '  ' || repeat('-', wv) || chr(10) || array_to_string(list_transform(range(1, len(k) + 1), lambda i: rpad(k[i], wk, ' ') || '  ' || v[i]), chr(10))"
 _DROP = r"(?is)<!--.*?-->|<!doctype[^>]*>|" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("script", "style", "head", "title"))
 _BLOCK = "'" + "','".join("address article aside blockquote body dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split()) + "'"
@@ -58,6 +57,24 @@ for _name, _value in (("nbsp", " "), ("copy", "©"), ("middot", "·"), ("quot",
 _ROLE = """CASE WHEN (length(line) % 5 = 0 OR (upper(line) = line AND lower(line) <> line)) AND len(string_split_regex(trim(line), '\\s+')) <= 6 AND length(line) <= 60 AND NOT regexp_matches(line, '[.;]$') AND NOT contains(line, chr(9)) THEN 'heading'
   WHEN length(line) % 3 = 0 AND length(line) % 5 <> 0 AND length(line) <= 220 THEN 'entry' ELSE 'body' END"""
 
+def _letters() -> str:
+    """What the letters of ``q_letters`` become for each destination."""
+    line = "'Is <strong>' || S || '</strong> and *not* <code>**' || P || '**</code>, see <a href=\"https://x.org/_o_/' || K || '\">it</a>.'"
+    table = "<thead><tr><th>Key</th><th>Status</th></tr></thead><tbody><tr><td>' || K || '</td><td>' || S || '</td></tr></tbody></table>'"
+    items = "'<ul><li>first<ul><li>deep ' || K || '</li></ul></li><li>last</li></ul>'"
+    rich = f"'<h1>Order ' || K || '</h1><p>' || {line} || '</p>' || {items} || '<blockquote><p>quoted</p></blockquote><table>{table}"
+    gap = "'<div><br></div>'"
+    gmail = f"""'<div><strong>Order ' || K || '</strong></div>' || {gap} || '<div>' || {line} || '</div>' || {gap} || {items} || {gap} || '<blockquote><p>quoted</p></blockquote>' || {gap} || '<table border="1" cellpadding="6" cellspacing="0" style="border-collapse:collapse">{table}"""
+    clean = r"'Order ' || K || E'\n\nIs ' || S || ' and *not* **' || P || '**, see it (https://x.org/_o_/' || K || E').\n\n• first\n  ◦ deep ' || K || E'\n• last\n\n> quoted\n\nKey\tStatus\n' || K || E'\t' || S"
+    plain = r"'# Order ' || K || E'\n\nIs **' || S || '** and *not* `**' || P || '**`, see [it](https://x.org/_o_/' || K || E').\n\n- first\n  - deep ' || K || E'\n- last\n\n> quoted\n\n| Key | Status |\n| --- | --- |\n| ' || K || ' | ' || S || ' |'"
+    marks = "md-lists:3,md-headings:1,md-emphasis:2,md-links:1"
+    each = (
+        ("rich", rich, clean, f"{marks},blank-lines:1,links:1"), ("gmail", gmail, clean, f"{marks},headings-flattened:1,email-spacing:1,blank-lines:1,links:1"), ("plain", "NULL", plain, "kept-markdown:1,blank-lines:1,links:1"),
+    )
+    source = "(SELECT CAST(o_orderkey AS VARCHAR) AS K, o_orderstatus AS S, o_orderpriority AS P FROM orders)"
+    return " UNION ALL ".join(f"SELECT K AS id, '{d}' AS destination, {html} AS html, {text} AS text, '{notes}' AS notes FROM {source}" for d, html, text, notes in each)
+
+
 ORACLE_SQL: dict[str, str] = {
     "q_clean_text": rf"SELECT doc_id, regexp_replace({_CLEAN}, '[ \t]{{2,}}', ' ', 'g') AS clean, {_HIDDEN} AS hidden, {_RUNS} AS runs FROM {_DIRTY}",
     "q_blank_lines": rf"""WITH l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS n, len(s) AS m FROM (SELECT doc_id, string_split(chr(10) || replace(text, chr(10), chr(10) || chr(10) || ' ' || chr(10)) || chr(10) || ' ' || chr(10), chr(10)) AS s FROM documents WHERE text IS NOT NULL)),
@@ -101,7 +118,7 @@ ORACLE_SQL: dict[str, str] = {
         WHEN k % 3 > 0 AND k % 2 <> 0 THEN 'files' WHEN k % 11 = 0 THEN 'already-cleaned' WHEN event_type = 'signup' THEN 'transform-failed' WHEN k % 13 = 0 THEN 'nothing-to-fix' WHEN NOT value > 10 THEN 'not-delivered' END AS reason FROM {_EVENTS}""",
     "q_active_users": """WITH s AS (SELECT user_id, CASE WHEN value > 20 THEN value > 50 END AS enabled FROM events WHERE event_type = 'signup' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
         SELECT user_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT user_id FROM s WHERE NOT coalesce(enabled, true)) GROUP BY user_id""",
-    "q_attribution": """WITH e AS (SELECT event_id, user_id % 3 AS user_id, event_type, date_trunc('minute', ts) AS ts, CAST(event_id % 2 AS VARCHAR) AS fp FROM events),
+    "q_attribution": """WITH e AS (SELECT event_id, user_id, event_type, date_trunc('hour', ts) + to_minutes(CAST(event_id % 60 AS INT)) AS ts, CAST(CAST(json_extract_string(props, '$.k') AS INT) % 2 AS VARCHAR) AS fp FROM events),
         u AS (SELECT user_id, ts, 0 AS o, NULL AS paste_id, fp, {'ts': ts, 'fp': fp, 'site': 'site' || event_id % 7} AS c FROM e WHERE event_type = 'click' UNION ALL SELECT user_id, ts, 1, event_id, fp, NULL FROM e WHERE event_type = 'view'),
         l AS (SELECT *, last_value(c IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, o, c.fp, c.site ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM u)
         SELECT paste_id, user_id, CASE WHEN k.fp = fp AND k.ts >= ts - INTERVAL 30 MINUTE THEN k.site END AS origin FROM l WHERE o = 1""",
@@ -125,15 +142,33 @@ ORACLE_SQL: dict[str, str] = {
         CASE WHEN o_orderkey % 3 = 0 THEN 'Mar ' || year(o_orderdate) || CASE WHEN o_orderkey % 2 = 0 THEN ' - present' ELSE '' END END AS date FROM orders""",
     "q_ago": """WITH m AS (SELECT event_id, CAST(floor((1706745600000 - epoch_ms(ts)) / 60000 + 0.5) AS BIGINT) AS m FROM events), h AS (SELECT *, CAST(floor(m / 60 + 0.5) AS BIGINT) AS h FROM m)
         SELECT event_id, CASE WHEN m < 1 THEN 'now' WHEN m < 60 THEN m || 'm' WHEN h < 24 THEN h || 'h' ELSE CAST(floor(h / 24 + 0.5) AS BIGINT) || 'd' END AS age FROM h""",
-    "q_tables": f"""SELECT s_nationkey, true AS head, 'Key' || chr(9) || 'Name' || chr(10) || array_to_string(list_transform(range(1, len(k) + 1), lambda i: k[i] || chr(9) || v[i]), chr(10)) AS tsv,
+    "q_tables": f"""SELECT page, true AS head, 'Key' || chr(9) || 'Name' || chr(10) || array_to_string(list_transform(range(1, len(k) + 1), lambda i: k[i] || chr(9) || v[i]), chr(10)) AS tsv,
         '| Key | Name |' || chr(10) || '| --- | --- |' || chr(10) || array_to_string(list_transform(range(1, len(k) + 1), lambda i: '| ' || k[i] || ' | ' || v[i] || ' |'), chr(10)) AS pipes, {_ALIGNED} AS aligned,
         '<table><thead><tr><th>Key</th><th>Name</th></tr></thead><tbody>' || array_to_string(list_transform(range(1, len(k) + 1), lambda i: '<tr><td>' || k[i] || '</td><td>' || v[i] || '</td></tr>'), '') || '</tbody></table>' AS html FROM {_SUPPLIERS}""",
-    "q_table_styles": f"""SELECT s_nationkey, '<table style="border-collapse:collapse"><tbody><tr><th style="{_CELL}">Key</th><th style="{_CELL}">Name</th></tr>' || array_to_string(list_transform(range(1, len(k) + 1), lambda i: '<tr><td style="{_CELL}">' || k[i] || '</td><td style="{_CELL}">' || v[i] || '</td></tr>'), '') || '</tbody></table>' AS grid,
+    "q_table_styles": f"""SELECT page, '<table border="1" cellpadding="6" cellspacing="0" style="border-collapse:collapse"><thead><tr><th>Key</th><th>Name</th></tr></thead><tbody>' || array_to_string(list_transform(range(1, len(k) + 1), lambda i: '<tr><td>' || k[i] || '</td><td>' || v[i] || '</td></tr>'), '') || '</tbody></table>' AS email,
         '<pre>' || {_ALIGNED} || '</pre>' AS pre FROM {_SUPPLIERS}""",
-    "q_line_blocks": """SELECT o_orderkey AS id, b.block, b.kind, b.n AS n_lines FROM orders, (VALUES (1::BIGINT, 'heading', 1::BIGINT), (2, 'ul', 2), (3, 'quote', 1), (4, 'code', 3), (5, 'text', 1)) b(block, kind, n)""",
+    "q_line_blocks": """SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_orderkey ORDER BY b.pos) AS block, b.kind, b.n AS n_rows FROM orders,
+        (VALUES (1, 'heading', 1::BIGINT, NULL), (2, 'list', 3, NULL), (3, 'text', 1, NULL), (4, 'code', 1, 0), (4, 'code', 1, 1), (4, 'code', 1, 3), (5, 'table', 4, 0), (5, 'table', 4, 1), (5, 'table', 4, 2), (6, 'table', 4, 0), (6, 'table', 4, 1), (6, 'table', 4, 2), (7, 'text', 1, 0), (7, 'text', 1, 1), (7, 'text', 1, 2)) b(pos, kind, n, k)
+        WHERE b.k IS NULL OR b.k = o_orderkey % 4""",
     "q_inline": """SELECT c_custkey, '<strong>' || c_name || '</strong> &amp; <code>x&lt;y</code> see <a href="https://x.org/' || c_custkey || '">the site</a>' AS html, c_name || ' & x<y see the site (https://x.org/' || c_custkey || ')' AS text FROM customer""",
-    "q_lists": """SELECT p_brand AS id, d AS depth, CASE WHEN p_partkey % 3 = 0 THEN 'circle' ELSE 'disc' END AS class, count(*) AS n FROM (SELECT *, dense_rank() OVER (PARTITION BY p_brand ORDER BY CASE p_partkey % 3 WHEN 1 THEN 0 WHEN 0 THEN 2 ELSE 4 END) - 1 AS d FROM part) GROUP BY ALL""",
+    "q_lists": """SELECT p_partkey, CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 1 + (coalesce(last_value(CASE WHEN k < 2 THEN k END IGNORE NULLS) OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey), 0) = 1)::INT END::BIGINT AS depth,
+        CASE k WHEN 0 THEN 'disc' WHEN 1 THEN 'circle' ELSE 'square' END AS class FROM (SELECT p_partkey, p_partkey * 7 % 11 % 3 AS k FROM part)""",
     "q_notes_matrix": f"SELECT flaw, CAST(sum(h) AS BIGINT) AS hidden, CAST(sum(r) AS BIGINT) AS runs FROM (SELECT doc_id % 4 AS flaw, {_HIDDEN} AS h, {_RUNS} AS r FROM {_DIRTY}) GROUP BY flaw",
     "q_sources_cube": f"SELECT lang, label, count(*) AS n, grouping(lang, label)::BIGINT AS level FROM (SELECT lang, {_LABEL} AS label FROM {_SOURCE}) GROUP BY CUBE (lang, label)",
     "q_quality_of_changes": f"SELECT doc_id, quality, hidden, rank FROM (SELECT d.doc_id, quality, {_HIDDEN} AS hidden, dense_rank() OVER (PARTITION BY quality ORDER BY {_HIDDEN} DESC) AS rank FROM {_DIRTY} d JOIN labels USING (doc_id) WHERE quality IS NOT NULL) WHERE rank <= 3",
+    "q_letters": _letters(),
+    "q_pages": """SELECT p_partkey::VARCHAR AS id, '<h3>' || p_name || '</h3><p>a &lt;é&gt; <strong>' || p_partkey || '</strong><a href="https://x.org/' || p_partkey || '">go</a> on</p><ol start="' || (p_partkey % 7 + 2) || '"><li>x<ul><li>y</li></ul></li><li>z</li></ol><table><thead><tr><th>H</th><th></th></tr></thead><tbody><tr><td>'
+        || p_partkey || '</td><td>' || p_name || '</td></tr></tbody></table><img src="https://x.org/i.png" alt="' || p_partkey || '"><p>one</p><p>two<br>three</p>' AS html,
+        p_name || E'\\n\\na <é> ' || p_partkey || 'go (https://x.org/' || p_partkey || E') on\\n\\n' || (p_partkey % 7 + 2) || E'. x\\n   ◦ y\\n' || (p_partkey % 7 + 3) || E'. z\\n\\nH\\t\\n' || p_partkey || E'\\t' || p_name || E'\\n\\none\\n\\ntwo\\nthree' AS text FROM part""",
+    "q_targets": """WITH f AS (SELECT event_id, ['input', 'textarea', 'div', 'input', 'div'][k % 5 + 1] AS tag, ['', 'password', 'email'][k % 3 + 1] AS type, ['docs.google.com', 'x.org', 'y.org'][k % 3 + 1] AS host FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)),
+        g AS (SELECT *, CASE WHEN tag = 'div' THEN CASE WHEN event_id % 3 > 0 THEN CASE WHEN event_id % 5 = 0 THEN 'plaintext-editable' ELSE 'rich' END END WHEN event_id % 4 = 0 THEN NULL WHEN tag = 'textarea' THEN tag WHEN type <> 'password' THEN tag END AS kind FROM f)
+        SELECT event_id, kind, CASE WHEN kind IS NOT NULL THEN kind = 'input' END AS single_line, CASE WHEN kind IS NOT NULL AND tag = 'div' AND host <> 'docs.google.com' AND event_id % 50 >= 4 THEN event_id % 2 = 0 END AS empty FROM g""",
+    "q_settings_store": "SELECT user_id, ts, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "q_styles": """SELECT c_custkey, '#1f3a8a' AS heading_color, true AS caps, true AS dates_right, true AS date_italic, '10pt' AS body_size, '#333333' AS body_color, '9pt' AS bullet_size,
+        'Learned headings (all caps, coloured), entries with dates on the right and bullets.' AS said FROM customer""",
 }
+ORACLE_SQL["q_feedback"] = f"""SELECT event_id, CASE reason WHEN 'not-delivered' THEN 'warning' WHEN 'already-cleaned' THEN 'cleaned' WHEN 'code-editor' THEN NULL WHEN 'disabled' THEN NULL WHEN 'not-editable' THEN NULL WHEN 'no-data' THEN NULL ELSE 'normal' END AS tone,
+        CASE reason WHEN 'not-delivered' THEN 'Not cleaned' WHEN 'already-cleaned' THEN 'Pasted the cleaned version' WHEN 'plain-paste-shortcut' THEN 'Pasted as plain text' WHEN 'files' THEN 'Pasted normally' WHEN 'nothing-to-fix' THEN 'Pasted normally' WHEN 'transform-failed' THEN 'Pasted normally' END AS title,
+        CASE WHEN reason IN ('not-delivered', 'already-cleaned', 'nothing-to-fix', 'transform-failed') AND event_id % 2 = 0 THEN 'Gmail' END AS meta,
+        CASE reason WHEN 'not-delivered' THEN CASE WHEN event_id % 2 = 0 THEN 'Gmail' ELSE 'This editor' END || ' didn’t accept the cleaned version, so this was a normal paste.' WHEN 'already-cleaned' THEN 'This was cleaned before it was pasted.' WHEN 'plain-paste-shortcut' THEN 'That shortcut is the browser’s own plain paste, which is left alone.'
+        WHEN 'files' THEN 'Images and files pass through untouched.' WHEN 'nothing-to-fix' THEN 'Already clean: nothing to fix.' WHEN 'transform-failed' THEN 'Nothing here could be improved.' END AS lines FROM ({ORACLE_SQL["q_skip_reason"]}) WHERE reason IS NOT NULL"""

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon import dimensions
-from quillon.functions import css, detect, links, text
+from quillon.functions import css, detect, feedback, links, text
 from quillon.functions.inline import inline_html, inline_text
-from quillon.operators import lines, markup, relational, tables
+from quillon.operators import lines, linescan, markup, relational, styles, tables
+from quillon.streaming.store import upsert
 from quillon.plans.transform import note_counts, transform
 from quillon.sources.tables import all_payloads, dirty, document_payloads, page_payloads, spread, table, tab_rows, wrapped
 
@@ -61,9 +62,16 @@ def q_hard_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.size("l").cast("bigint").alias("n_lines"), F.col("m").cast("bigint").alias("longest"), F.coalesce(detect.is_hard_wrapped(F.col("l"), F.col("m")), F.lit(False)).alias("wrapped"))
 
 
+def _scanned(rows: DataFrame) -> DataFrame:
+    """Scanned lines of rows with ``id, text, markdown``, by id."""
+    keyed = rows.select(F.col("id").alias("key"), "markdown", F.filter(text.lines_of("text"), lambda x: ~text.is_page_marker(x)).alias("lines"))
+    return linescan.text_units(keyed).where("kind <> 'end'").repartition("key")
+
+
 @query
 def q_reflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.reflow(_wrapped(spark, sf_dir)).select("id", F.col("block").cast("bigint").alias("block"), F.col("para").cast("bigint").alias("para"), "text", F.col("n_lines").cast("bigint").alias("n_lines"))
+    found = lines.reflow(_scanned(_wrapped(spark, sf_dir)))
+    return found.select(F.col("key").alias("id"), F.col("block").cast("bigint").alias("block"), F.col("para").cast("bigint").alias("para"), "text", F.col("n_lines").cast("bigint").alias("n_lines"))
 
 
 @query
@@ -145,17 +153,16 @@ def q_active_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _copies(e: DataFrame) -> DataFrame:
-    return e.where("event_type = 'click'").select("user_id", "ts", F.get_json_object("props", "$.k").alias("fingerprint"), F.concat(F.lit("site"), (F.col("event_id") % 7).cast("string")).alias("site"))
+    return e.where("event_type = 'click'").select("user_id", "ts", (F.get_json_object("props", "$.k").cast("int") % 2).cast("string").alias("fingerprint"), F.concat(F.lit("site"), (F.col("event_id") % 7).cast("string")).alias("site"))
 
 
 def _pastes(e: DataFrame) -> DataFrame:
-    return e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("paste_id"), F.get_json_object("props", "$.k").alias("fingerprint"))
+    return e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("paste_id"), (F.get_json_object("props", "$.k").cast("int") % 2).cast("string").alias("fingerprint"))
 
 
 @query
 def q_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("props", F.concat(F.lit('{"k":"'), (F.col("event_id") % 2).cast("string"), F.lit('"}')))
-    e = e.withColumn("ts", F.date_trunc("minute", F.col("ts"))).withColumn("user_id", F.col("user_id") % 3)
+    e = table(spark, sf_dir, "events").withColumn("ts", F.date_trunc("hour", F.col("ts")) + F.expr("make_interval(0, 0, 0, 0, 0, cast(event_id % 60 as int), 0)"))
     return relational.attribute(_copies(e), _pastes(e), ["user_id"]).select("paste_id", "user_id", "origin")
 
 
@@ -222,31 +229,38 @@ def q_ago(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _supplier_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One table of tab rows a nation: a head and its suppliers by key."""
-    s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", tab_rows(table(spark, sf_dir, "supplier"), ["s_suppkey", "s_name"]).alias("row"))
+    """Tables of tab rows: a head and fifty suppliers by key."""
+    s = table(spark, sf_dir, "supplier")
+    s = s.select(F.floor(F.col("s_suppkey") / 50).alias("page"), "s_suppkey", tab_rows(s, ["s_suppkey", "s_name"]).alias("row"))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "row"))), lambda x: x["row"])
-    return s.groupBy("s_nationkey").agg(F.concat(F.array(F.lit("Key\tName")), rows).alias("lines"))
+    return s.groupBy("page").agg(F.concat(F.array(F.lit("Key\tName")), rows).alias("lines"))
 
 
 @query
 def q_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _supplier_tables(spark, sf_dir).withColumn("cells", tables.parse_tabs(F.col("lines"))).withColumn("head", tables.has_header(F.col("cells")))
     c, h = F.col("cells"), F.col("head")
-    return t.select("s_nationkey", "head", tables.to_tsv(c).alias("tsv"), tables.to_pipes(c).alias("pipes"), tables.to_aligned(c, h).alias("aligned"), tables.to_html(c, h, "table").alias("html"))
+    return t.select("page", "head", tables.to_tsv(c).alias("tsv"), tables.to_pipes(c).alias("pipes"), tables.to_aligned(c, h).alias("aligned"), tables.to_html(tables.escaped(c), h).alias("html"))
 
 
 @query
 def q_table_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _supplier_tables(spark, sf_dir).withColumn("cells", tables.parse_tabs(F.col("lines")))
-    return t.select("s_nationkey", *[tables.to_html(F.col("cells"), F.lit(True), style).alias(style) for style in ("grid", "pre")])
+    pre = F.concat(F.lit("<pre>"), text.escape_html(tables.to_aligned(F.col("cells"), F.lit(True))), F.lit("</pre>"))
+    return t.select("page", tables.to_html(tables.escaped(F.col("cells")), F.lit(True), "email").alias("email"), pre.alias("pre"))
 
 
 @query
 def q_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of texts that differ in fences, quotes, tables and what stands before them."""
     o = table(spark, sf_dir, "orders")
-    parts = F.concat(F.lit("# Order "), F.col("o_orderkey").cast("string"), F.lit("\n\n- "), F.col("o_orderstatus"), F.lit("\n- "), F.col("o_orderpriority"), F.lit("\n\n> quoted\n```\n- code\n```\nlast line"))
-    found = lines.blocks(lines.lines(o.select(F.col("o_orderkey").alias("id"), parts.alias("text"), F.lit(True).alias("markdown"))))
-    return found.groupBy("id", "block").agg(F.first("kind").alias("kind"), F.count(F.lit(1)).alias("n_lines")).select("id", F.col("block").cast("bigint").alias("block"), "kind", "n_lines")
+    k = F.col("o_orderkey") % 4
+    key = F.col("o_orderkey").cast("string")
+    fence = F.when(k == 0, "```\n~~~\n- code\n```\n").when(k == 1, "~~~\n```\n~~~\n").when(k == 2, "").otherwise("```\nopen\n")
+    parts = F.concat(F.lit("# Order "), key, F.lit("\n\n- "), F.col("o_orderstatus"), F.lit("\n- "), F.col("o_orderpriority"), F.lit("\n  goes on\n\n> quoted\n"), fence, F.lit("a | b\n--- | ---\n1 | 2\n\nlast\tline\nand\tmore\n\nalone\there"))
+    found = _scanned(o.select(F.col("o_orderkey").alias("id"), parts.alias("text"), F.lit(True).alias("markdown")))
+    rank = F.dense_rank().over(Window.partitionBy("key").orderBy("block")).cast("bigint")
+    return found.withColumn("at", rank).groupBy(F.col("key").alias("id"), F.col("at").alias("block")).agg(F.first("kind").alias("kind"), F.count(F.lit(1)).alias("n_rows"))
 
 
 @query
@@ -258,18 +272,93 @@ def q_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name")
-    item = F.concat(F.when(F.col("p_partkey") % 3 == 0, "  ◦ ").when(F.col("p_partkey") % 3 == 1, "• ").otherwise("    - "), F.col("p_name"))
-    whole = p.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("i")))), lambda x: x["i"]), "\n").alias("text"))
-    items = lines.bullet_classes(lines.list_items(lines.blocks(lines.lines(whole.select(F.col("p_brand").alias("id"), "text", F.lit(False).alias("markdown"))))))
-    return items.groupBy("id", "depth", "class").agg(F.count(F.lit(1)).alias("n")).select("id", F.col("depth").cast("bigint").alias("depth"), "class", "n")
+    """Lists of fifty parts whose indents go up and down; the glyph is told by each item's text too."""
+    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 50).alias("page"), "p_partkey")
+    k = F.col("p_partkey") * 7 % 11 % 3
+    item = F.concat(F.when(k == 0, "• •").when(k == 1, "  ◦ ◦").otherwise("    - ▪"), F.col("p_partkey").cast("string"))
+    whole = p.groupBy("page").agg(F.array_join(F.concat(F.array(F.lit("• head")), F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("i")))), lambda x: x["i"])), "\n").alias("text"))
+    items = lines.list_items(_scanned(whole.select(F.col("page").alias("id"), "text", F.lit(False).alias("markdown")))).where("content <> 'head'")
+    found = lines.bullet_classes(items.withColumn("glyph", F.substring("content", 1, 1)), "glyph")
+    return found.select(F.expr("cast(substring(content, 2) as bigint)").alias("p_partkey"), F.col("depth").cast("bigint").alias("depth"), "class")
+
+
+@query
+def q_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What receives a paste, of facts spread over the events."""
+    e = table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    pick = lambda *names: F.element_at(F.array(*[F.lit(x) for x in names]), F.pmod(F.col("k"), F.lit(len(names))) + 1)
+    facts = {
+        "tag": pick("input", "textarea", "div", "input", "div"), "type": pick("", "password", "email"), "locked": F.col("event_id") % 4 == 0, "editable": F.col("event_id") % 3 > 0, "plaintext_only": F.col("event_id") % 5 == 0,
+        "host": pick("docs.google.com", "x.org", "y.org"), "width": F.col("event_id") % 50, "height": F.lit(9), "visible_text": F.when(F.col("event_id") % 2 == 0, " \n").otherwise("words"),
+    }
+    found = detect.paste_target(facts)
+    return e.select("event_id", found["kind"].alias("kind"), found["single_line"].alias("single_line"), found["empty"].alias("empty"))
+
+
+@query
+def q_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users are told of pastes that were left alone."""
+    reasons = q_skip_reason(spark, sf_dir).where("reason IS NOT NULL")
+    label = F.when(F.col("event_id") % 2 == 0, "Gmail")
+    told = feedback.skipped(F.col("reason"), label)
+    return reasons.select("event_id", told["tone"].alias("tone"), told["title"].alias("title"), told["meta"].alias("meta"), F.array_join(told["lines"], "\n").alias("lines"))
+
+
+@query
+def q_settings_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of the newest row of each user, after two batches of events."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    first = upsert(None, e.where("event_id % 2 = 0"), ["user_id"], ["ts", "event_id"])
+    return upsert(first, e.where("event_id % 2 = 1"), ["user_id"], ["ts", "event_id"])
+
+
+@query
+def q_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Styles of customers' letters, learned from two samples each and merged."""
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey").cast("string")
+    size = F.concat((F.col("c_custkey") % 90 + 6).cast("string"), F.lit("pt"))
+    first = F.concat(F.lit('<h2 style="font-family:Georgia;color:#1f3a8a">PROFILE</h2><p style="font-size:'), size, F.lit(';margin-top:4pt">'), F.col("c_comment") if "c_comment" in c.columns else F.col("c_name"), F.lit(" and more words of a plain body line.</p><ul><li style=\"font-size:9pt\">item</li></ul>"))
+    second = F.concat(F.lit("<p><b>"), F.col("c_name"), F.lit("</b>, role\t<i>Mar 2021</i></p><p style='font-size:10pt;color:#333'>Customer number "), key, F.lit(" has a later body line.</p>"))
+    samples = c.select(key.alias("scope"), F.posexplode(F.array(first, second)).alias("at", "html")).withColumn("at", F.col("at").cast("bigint"))
+    m = styles.merged(styles.learn(samples))
+    body, entry, heading = F.col("body"), F.col("entry"), F.col("heading")
+    return m.select(
+        F.col("scope").cast("bigint").alias("c_custkey"), heading["text"]["color"].alias("heading_color"), heading["caps"].alias("caps"), entry["datesRight"].alias("dates_right"), entry["dateItalic"].alias("date_italic"),
+        body["text"]["fontSize"].alias("body_size"), body["text"]["color"].alias("body_color"), F.col("bullet")["text"]["fontSize"].alias("bullet_size"), styles.described({r: F.col(r) for r in styles.ROLES}).alias("said"),
+    )
 
 
 @query
 def q_transform_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole way of texts that need nothing but clean lines, which SQL can follow too."""
-    docs = document_payloads(table(spark, sf_dir, "documents")).withColumn("text", F.regexp_replace("text", r"[#*$%&|<>`_~\\\[\]-]+", ""))
-    return transform(docs, "plain").select("id", "ok", "kind", "label", "text")
+    """The whole way of all texts of documents to a plain field."""
+    return transform(document_payloads(table(spark, sf_dir, "documents")), "plain").select("id", "ok", "kind", "label", "text")
+
+
+@query
+def q_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with marks, lists, tables and quotes made of orders, for three destinations, with their notes."""
+    o = table(spark, sf_dir, "orders")
+    key, status, priority = F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    said = F.concat(
+        F.lit("# Order "), key, F.lit("\n\n\nIs **"), status, F.lit("** and \\*not\\* `**"), priority, F.lit("**`, see [it](https://x.org/_o_/"), key, F.lit(").\n\n- first\n    - deep "), key, F.lit("\n- last\n\n> quoted\n\n| Key | Status |\n| --- | --- |\n| "), key, F.lit(" | "), status, F.lit(" |"),
+    )
+    found = transform(o.select(key.alias("id"), F.lit(None).cast("string").alias("html"), said.alias("text")), "rich", "gmail", "plain")
+    notes = F.array_join(F.transform("notes", lambda n: F.concat(n["note"], F.lit(":"), n["count"].cast("string"))), ",")
+    return found.select("id", "destination", "html", "text", notes.alias("notes"))
+
+
+@query
+def q_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages made of parts: hidden elements, styled marks, references, merged cells, images and lists that start later."""
+    p = table(spark, sf_dir, "part")
+    key, name = F.col("p_partkey").cast("string"), F.col("p_name")
+    html = F.concat(
+        F.lit("<p style='display:none'>"), name, F.lit("</p><h4><b>"), name, F.lit("</b></h4><p>a &#60;&eacute;&gt; <span style='font-weight:700'>"), key, F.lit("</span><a href='https://x.org/"), key, F.lit("'>go</a><button>b</button>on</p><ol start='"), (F.col("p_partkey") % 7 + 2).cast("string"),
+        F.lit("'><li>x<ul><li>y</li></ul></li><li>z</li></ol><table><tr><th colspan='2'>H</th></tr><tr><td>"), key, F.lit("</td><td>"), name, F.lit("</td></tr></table><img src='https://x.org/i.png' alt='"), key, F.lit("'><img src='https://x.org/t.gif' width='1'><div>one<br><br>two<br>three</div>"),
+    )
+    found = transform(p.select(key.alias("id"), html.alias("html"), F.lit(None).cast("string").alias("text")), "rich")
+    return found.select("id", "html", "text")
 
 
 @query

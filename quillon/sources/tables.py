@@ -14,9 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a table of few files dealt out to all cores, for costly expressions; many files are left where they are."""
+    """Rows of a table of few splits dealt out to all cores, for costly expressions; many splits are left where they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def _payload(id_: Column, html: Column | None, text: Column | None) -> list[Column]:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import detect, links, text
-from quillon.operators import lines, markup, relational, tables
+from quillon.operators import lines, linescan, markup, relational, styles, tables
 from quillon.plans.transform import transform
 from quillon.streaming.attribution import attribute_stream
 
@@ -111,7 +111,7 @@ def test_stream_agrees_with_batch(spark, tmp_path):
 
 def test_table_rules(spark):
     t = spark.createDataFrame([(["Key\tName", "1", "2\tb|c\td"],)], "l array<string>").withColumn("c", tables.parse_tabs(F.col("l")))
-    assert t.select(tables.to_pipes(F.col("c"))).first()[0] == "| Key | Name |\n| --- | --- |\n| 1 |  |\n| 2 | b\\|c | d |"
+    assert t.select(tables.to_pipes(F.col("c"))).first()[0] == "| Key | Name |  |\n| --- | --- | --- |\n| 1 |  |  |\n| 2 | b\\|c | d |"
     assert t.select(tables.has_header(F.col("c"))).first()[0]
     assert not spark.createDataFrame([([["1", "x"]],)], "c array<array<string>>").select(tables.has_header(F.col("c"))).first()[0]
 
@@ -130,9 +130,54 @@ def test_bold_goes_on_behind_an_unclosed_tag(spark):
 
 
 def test_lists_keep_going_behind_blank_lines(spark):
-    rows = spark.createDataFrame([("x", "• a\n\n• b\n1. c", False)], "id string, text string, markdown boolean")
-    found = lines.list_items(lines.blocks(lines.lines(rows))).orderBy("n").collect()
-    assert [(r["content"], r["ordered"], r["block"]) for r in found] == [("a", False, 1), ("b", False, 1), ("c", True, 2)]
+    rows = spark.createDataFrame([(1, ["• a", "", "• b", "1. c"], False)], "key bigint, lines array<string>, markdown boolean")
+    found = lines.list_items(linescan.text_units(rows)).orderBy("item").collect()
+    assert [(r["content"], r["ordered"], r["depth"], r["block"]) for r in found] == [("a", False, 0, 1), ("b", False, 0, 1), ("c", True, 0, 2)]
+
+
+def test_levels_are_a_stack_not_a_rank(spark):
+    rows = spark.createDataFrame([(1, ["- a", "    - b", "- c", "  - d", "    - e", "  - f"], False)], "key bigint, lines array<string>, markdown boolean")
+    found = lines.list_items(linescan.text_units(rows)).orderBy("item").collect()
+    assert [r["depth"] for r in found] == [0, 1, 0, 1, 2, 1]
+
+
+SAMPLE = (
+    '<h1 style="font-family:Times New Roman,serif;font-size:13pt;color:#2f4b8c;border-top:1pt solid #aabbcc">PROFILE</h1>'
+    '<p style="font-family:Georgia;font-size:12pt;margin-top:3pt;line-height:1.2">A longer line of plain body text that goes on for quite a while.</p>'
+    '<p style="font-family:Georgia"><b>Harbor</b>, Coordinator\t<i>Mar 2021 – Jun 2023</i></p>'
+    '<ul><li style="font-size:11.5pt;color:url(x)"><p style="font-family:Arial">An item</p></li></ul><p style="display:none">unseen words of a paragraph that is longer than all the others in here</p>'
+)
+
+
+def test_styles_are_learned_and_merged(spark):
+    rows = spark.createDataFrame([("doc", 1, SAMPLE), ("doc", 2, '<p style="font-size:9pt">Only a body line of another sample, all plain.</p>'), ("none", 1, "<span>  </span>"), ("bad", 1, None)], "scope string, at bigint, html string")
+    profiles = styles.learn(rows)
+    first = profiles.where("scope = 'doc' and at = 1").first()
+    assert first["heading"]["text"].asDict() == {"fontFamily": "'Times New Roman', serif", "fontSize": "13pt", "color": "#2f4b8c", "bold": True, "italic": False}
+    assert first["heading"]["caps"] and first["heading"]["ruleBefore"] and first["heading"]["ruleColor"] == "#aabbcc"
+    assert first["entry"]["datesRight"] and first["entry"]["dateItalic"] and not first["entry"]["text"]["bold"]
+    assert first["bullet"]["text"]["fontFamily"] == "Arial" and first["bullet"]["text"]["fontSize"] == "11.5pt" and first["bullet"]["text"]["color"] is None
+    assert first["body"]["text"]["fontFamily"] == "Georgia" and first["body"]["block"].asDict() == {"marginTop": "3pt", "marginBottom": None, "lineHeight": "1.2"}
+    assert {r["scope"] for r in profiles.collect()} == {"doc"}
+    stored = styles.upsert(profiles.where("at = 1"), profiles.where("at = 2")).first()
+    assert stored["body"]["text"]["fontSize"] == "9pt" and stored["heading"]["caps"] and stored["at"] == 2
+    said = profiles.where("at = 1").select(styles.described({r: F.col(r) for r in styles.ROLES}).alias("s")).first()["s"]
+    assert said == "Learned headings (all caps, coloured, line above), entries with dates on the right, bullets and text in Georgia 12pt."
+    assert styles.forgotten(profiles, spark.createDataFrame([("doc",)], "scope string")).count() == 0
+
+
+def test_results_in_a_learned_style(spark):
+    profile = styles.learn(spark.createDataFrame([("doc", 1, SAMPLE)], "scope string, at bigint, html string")).select("scope", F.struct(*styles.ROLES).alias("style"))
+    text = "## Work\n\n**Harbor & Co**, Cook · Mar 2020 to now\n\n- **a** b\n  - c\n\nPlain words.\n\n```\nx<y\n```"
+    payloads = spark.createDataFrame([("doc", None, text), ("other", None, text)], SCHEMA).join(profile.withColumnRenamed("scope", "id"), "id", "left")
+    found = {(r["id"], r["destination"]): r for r in transform(payloads, "google-docs", "plain").collect()}
+    html = found["doc", "google-docs"]["html"]
+    assert html.startswith('<hr style="border:none;border-top:1px solid #aabbcc"><p style="margin-top:0pt;margin-bottom:0pt"><span style="font-family:&#39;Times New Roman&#39;, serif;font-size:13pt;color:#2f4b8c;font-weight:700;font-style:normal">WORK</span></p>')
+    assert "<strong>Harbor &amp; Co</strong>, Cook</span></p></td>" in html and 'text-align:right"><span style="font-family:Georgia;font-weight:400;font-style:italic">Mar 2020 to now</span>' in html
+    assert '<ul style="margin-top:0;margin-bottom:0"><li style="font-family:Arial;font-size:11.5pt;font-weight:400;font-style:normal"><p' in html and "<pre>x&lt;y</pre>" in html
+    first = found["doc", "google-docs"]["notes"][0]
+    assert (first["note"], first["message"]) == ("matched-style", "Matched your document’s style (1 heading, 1 entry, 2 bullets, 1 paragraph)")
+    assert found["other", "google-docs"]["html"].startswith("<p><strong>Work</strong></p><p><strong>Harbor &amp; Co</strong>") and found["doc", "plain"]["text"].startswith("## Work")
 
 
 def test_notes_are_json(spark):
