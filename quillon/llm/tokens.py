@@ -19,6 +19,7 @@ from functools import lru_cache
 
 #: White space beside a space or a line break; Python's set holds Unicode's. Such texts are cut by the pattern below.
 _LOOSE = re.compile(r"[ \n]\s|[^\S \n][ \n]")
+_PAIRS, _OTHER = ("  ", " \n", "\n ", "\n\n"), re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)")
 #: Bytes of chunks and ids in a generation of an encoder's memory, and the longest chunk it keeps. A full generation becomes
 #: the old one, from which chunks that occur again move on; the old one before it is forgotten.
@@ -64,7 +65,7 @@ class Encoder:
             return [text]
         if self.drops_spaces:
             return list(filter(None, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
-        if text[-1:].isspace() or _LOOSE.search(text):
+        if text[-1:].isspace() or any(pair in text for pair in _PAIRS) or _OTHER.search(text) and _LOOSE.search(text):
             first, *others = _CUT.split(text)
             return [first, *(x[1:] if x[0] == " " else x for x in others)]
         return text.replace("\n", " \n").split(" ")
