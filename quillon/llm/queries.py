@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, classlm, langid, mixing, packing, pii, quality, sharding, simhash, tokenfile
+from . import ann, classlm, langid, licences, mixing, packing, periodic, pii, quality, sharding, simhash, tokenfile, whitening
 from .common import table
 
 #: Tokenizer files by name; the folder is that of the ``public_tokenizers`` package unless a path is given.
@@ -64,6 +64,43 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 6).alias("distance"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.find(table(spark, sf_dir, "documents"), ["doc_id"])
+    starts, labels = F.col("places.start"), F.col("places.label")
+    named = lambda names: F.array_join(F.array_sort(F.array_distinct(names)), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        named(labels).alias("base_labels"),
+        named(F.concat(labels, F.col("spans.label"))).alias("labels"),
+        F.col("cover").alias("score"),
+    )
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse(table(spark, sf_dir, "documents").select("doc_id", "text"), change=periodic.planted)
+    # greatest exponent first, then smallest start and period; all null without a run
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"] / r["period"]).alias("e"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_sharding": op2_sharding,
@@ -75,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_neighbours": op9_neighbours,
     "op10_quality": op10_quality,
+    "op11_whitening": op11_whitening,
+    "op12_licences": op12_licences,
+    "op13_runs": op13_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {}
