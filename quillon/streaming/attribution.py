@@ -1,4 +1,4 @@
-"""Streams of copy and paste events: which copy a paste came from, and the settings it met.
+"""Streams of copy and paste events: which copy a paste came from.
 
 State is one latest copy a key, in the state store; rows are handled in order of time within a batch, so replays of a batch
 give the same result.
@@ -10,7 +10,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "user_id bigint, paste_id bigint, ts timestamp, origin string"
@@ -43,8 +42,3 @@ def attribute_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Pastes with their origin from a stream of ``event_id, ts, user_id, is_paste, fingerprint, site``."""
     keyed = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]).groupBy("user_id")
     return keyed.applyInPandasWithState(_match, OUT, "ts bigint, fingerprint string, site string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def with_settings(pastes: DataFrame, settings: DataFrame) -> DataFrame:
-    """A stream joined with the settings table, which Spark reads afresh in every batch."""
-    return pastes.join(settings, "user_id", "left").where(F.coalesce("enabled", F.lit(True)))

@@ -7,8 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from quillon.oracles import ORACLE_SQL
-from quillon.queries import QUERIES
+from quillon import oracles, queries, state_queries
+
+QUERIES, ORACLE_SQL = queries.QUERIES | state_queries.QUERIES, oracles.ORACLE_SQL | state_queries.ORACLE_SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
