@@ -48,6 +48,8 @@ GAIN = 5e-4
 WINDOW = 1 << 22
 #: Tokens that are looked up at a time.
 STEP = 1 << 18
+#: Neighbours in a row of a frequent word, more or less; words that occur half as often have one row.
+LIST = 1 << 17
 #: Words whose moves are weighed at a time.
 BLOCK = 512
 #: Codes of classes beside the ordinary ones: the end of a text, and words without a class.
@@ -112,10 +114,11 @@ class Words:
         return found
 
 
-def neighbours(texts: DataFrame, words: Words) -> DataFrame:
+def neighbours(texts: DataFrame, words: Words, frequent: int = 0) -> DataFrame:
     """``w, v, n``: each word with arrays of its neighbours and how often they meet; ``-1 - v`` stands for ``v`` on the left.
 
-    The end and the other words have right neighbours only. No array is longer than twice the number of words.
+    The end and the other words have right neighbours only. The ``frequent`` first words, the end and the other words have
+    several rows, with part of their neighbours each, so that an array has some ``LIST`` entries whatever the corpus.
     """
     shared = texts.sparkSession.sparkContext.broadcast(words)
 
@@ -136,7 +139,9 @@ def neighbours(texts: DataFrame, words: Words) -> DataFrame:
     right = F.struct(F.col("l").alias("w"), F.col("r").alias("v"))
     left = F.struct(F.col("r").alias("w"), (-1 - F.col("l")).alias("v"))
     sides = pairs.select(F.explode(F.when(F.col("r") < words.size, F.array(right, left)).otherwise(F.array(right))).alias("s"), "n")
-    return sides.groupBy("s.w").agg(F.collect_list("s.v").alias("v"), F.collect_list("n").alias("n"))
+    parts = max(1, -(-2 * (words.size + 2) // LIST))
+    part = F.when((F.col("s.w") < frequent) | (F.col("s.w") >= words.size), F.pmod(F.hash("s.v"), F.lit(parts))).otherwise(0)
+    return sides.groupBy("s.w", part.alias("part")).agg(F.collect_list("s.v").alias("v"), F.collect_list("n").alias("n")).drop("part")
 
 
 def _x_log_x(x: np.ndarray) -> np.ndarray:
@@ -265,25 +270,60 @@ def _matrix(cells: DataFrame) -> np.ndarray:
     return total.reshape(ALL, ALL)
 
 
-def moves(near: DataFrame, words: int, of: np.ndarray, joint: np.ndarray, every: int, turn: int) -> np.ndarray:
-    """``of`` after one sweep in which one of ``every`` words may move; words without a class all get one."""
+def moves(near: DataFrame, words: int, of: np.ndarray, joint: np.ndarray, every: int, turn: int, frequent: int = 0) -> np.ndarray:
+    """``of`` after one sweep in which one of ``every`` words may move; words without a class all get one.
+
+    Of the ``frequent`` first words, which have several rows, the classes of neighbours are added up before.
+    """
     shared = near.sparkSession.sparkContext.broadcast((of, joint))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def moved(w: np.ndarray, into: np.ndarray, out: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
         of, joint = shared.value
+        mine = (w < words) & ((of[w] == NONE) | ((w * 40503 >> 4) % every == turn % every))
+        found = best_classes(into[mine], out[mine], own[mine], of[w[mine]].astype(np.int64), joint)
+        new = found != of[w[mine]]
+        return pa.RecordBatch.from_arrays([pa.array(w[mine][new].astype(np.int32)), pa.array(found[new].astype(np.int16))], names=["w", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            w, into, out, own = _sides(part, of)
-            mine = (w < words) & ((of[w] == NONE) | ((w * 40503 >> 4) % every == turn % every))
-            found = best_classes(into[mine], out[mine], own[mine], of[w[mine]].astype(np.int64), joint)
-            moved = found != of[w[mine]]
-            yield pa.RecordBatch.from_arrays([pa.array(w[mine][moved]), pa.array(found[moved].astype(np.int16))], names=["w", "c"])
+            yield moved(*_sides(part, shared.value[0]))
 
-    found = arrow_pass(near, run, "w int, c smallint").toPandas()  # at most 1 / SHARE rows of 6 bytes
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            w, into, out, own = _sides(part, shared.value[0])
+            cells = np.hstack([into, out, own[:, None]])
+            row, cell = np.nonzero(cells)
+            yield pa.RecordBatch.from_arrays([pa.array(w[row]), pa.array(cell.astype(np.int32)), pa.array(cells[row, cell])], names=["w", "cell", "n"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            lists = part.column("cell")
+            cells = np.zeros((part.num_rows, 2 * ALL + 1))
+            cells[np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = part.column("n").flatten().to_numpy()
+            yield moved(part.column("w").to_numpy(), cells[:, :ALL], cells[:, ALL:-1], cells[:, -1])
+
+    rows = arrow_pass(near.where(F.col("w") >= frequent) if frequent else near, run, "w int, c smallint")
+    if frequent:
+        added = arrow_pass(near.where(F.col("w") < frequent), partial, "w int, cell int, n double").groupBy("w", "cell").agg(F.sum("n").alias("n"))
+        added = added.groupBy("w").agg(F.collect_list("cell").alias("cell"), F.collect_list("n").alias("n"))  # 2 * ALL + 1 cells at most
+        rows = rows.unionByName(arrow_pass(added, whole, "w int, c smallint"))
+    found = _pandas(rows)  # at most 1 / SHARE rows of 6 bytes
     of = np.array(of)
     of[found["w"].to_numpy(np.int64)] = found["c"].to_numpy()
     return of
 
 
+def _pandas(rows: DataFrame):
+    """A table of bounded size on the driver, by Arrow columns instead of row objects."""
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.pyspark.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return rows.toPandas()
+    finally:
+        conf.set(name, before)
+
+
 def _seeds(near: DataFrame, words: int) -> np.ndarray:
     """Classes of the most frequent words; the others have none yet."""
     of = np.full(words + 2, NONE, np.uint8)
@@ -292,21 +332,22 @@ def _seeds(near: DataFrame, words: int) -> np.ndarray:
     if few:
         named = lambda c: F.when(F.col(c) == words, few).otherwise(F.col(c)).alias(c)
         rows = near.where((F.col("w") < few) | (F.col("w") == words)).select("w", F.inline(F.arrays_zip("v", "n")))
-        rows = rows.where(((F.col("v") >= 0) & (F.col("v") < few)) | (F.col("v") == words)).select(named("w"), named("v"), "n").toPandas()
+        rows = rows.where(((F.col("v") >= 0) & (F.col("v") < few)) | (F.col("v") == words)).select(named("w"), named("v"), "n")
+        rows = _pandas(rows)
         pairs = np.zeros((few + 1, few + 1))
         pairs[rows["w"].to_numpy(), rows["v"].to_numpy()] = rows["n"].to_numpy()
         of[:few] = exchange(pairs)[:few]
     return of
 
 
-def cluster(near: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+def cluster(near: DataFrame, words: int, frequent: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """A class for each of ``words`` words, and the class bigrams of the corpus."""
     of = _seeds(near, words)
-    of = moves(near, words, of, class_pairs(near, of), 1, 0)
+    of = moves(near, words, of, class_pairs(near, of), 1, 0, frequent)
     joint = class_pairs(near, of)
     every = 2
     for turn in range(SWEEPS):
-        tried = moves(near, words, of, joint, every, turn)
+        tried = moves(near, words, of, joint, every, turn, frequent)
         if np.array_equal(tried, of):
             break
         after = class_pairs(near, tried)
@@ -399,10 +440,11 @@ def learn(texts: DataFrame) -> tuple[Model, DataFrame]:
     signed_end = int(np.uint64(END_HASH).astype(np.int64))
     tokens, distinct, end = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("h") == signed_end, F.col("n"))), F.lit(0))).first()
     least = max(LEAST, math.ceil(SHARE * tokens))
-    often = counts.where((F.col("n") >= least) & (F.col("h") != signed_end)).toPandas().sort_values(["n", "h"], ascending=[False, True])
+    often = _pandas(counts.where((F.col("n") >= least) & (F.col("h") != signed_end))).sort_values(["n", "h"], ascending=[False, True])
     words, n = Words(often["h"].to_numpy(np.int64)), often["n"].to_numpy(np.int64)
-    near = keep(neighbours(texts, words), "word-neighbours")
-    of, joint = cluster(near, words.size)
+    frequent = int((n > LIST // 2).sum())
+    near = keep(neighbours(texts, words, frequent), "word-neighbours")
+    of, joint = cluster(near, words.size, frequent)
     rest = keep(place_rest(texts, words, of, joint), "rare-words")
     mass, once = np.full(ALL, 0.5), np.zeros(ALL)
     np.add.at(mass, of[: words.size], n + 0.5)

@@ -373,7 +373,7 @@ def test_gains_are_changes_of_the_likelihood():
             assert math.isclose(gain[w, c] - gain[w, of[w]], classlm.likelihood(m.T @ pairs @ m) - classlm.likelihood(joint), abs_tol=1e-6)
 
 
-def test_sweeps_find_the_classes(spark):
+def test_sweeps_find_the_classes(monkeypatch, spark):
     """Two kinds of words that take turns; more words than the driver clusters first."""
     random.seed(8)
     texts = []
@@ -383,6 +383,11 @@ def test_sweeps_find_the_classes(spark):
     words = classlm.Words(np.array([xxhash.xxh64_intdigest(f"{k}{i}".encode()) for k in "ab" for i in range(400)], np.uint64))
     near = classlm.neighbours(train, words).cache()
     of, joint = classlm.cluster(near, words.size)
+    monkeypatch.setattr(classlm, "LIST", 100)  # frequent words in many rows: the same classes
+    split = classlm.neighbours(train, words, 40).cache()
+    assert split.groupBy("w").count().where("w < 40 AND count > 2").count() > 30 and split.groupBy("w").count().where("w >= 40 AND w < 800 AND count > 1").count() == 0
+    again, joint_again = classlm.cluster(split, words.size, 40)
+    assert np.array_equal(of, again) and np.allclose(joint, joint_again)
     random_joint = classlm.class_pairs(near, np.append(np.arange(800) % classlm.CLASSES, [classlm.END, classlm.NONE]).astype(np.uint8))
     assert classlm.likelihood(joint) > classlm.likelihood(random_joint) and np.allclose(joint, classlm.class_pairs(near, of))
     kinds = [Counter(of[:400].tolist()), Counter(of[400:800].tolist())]
