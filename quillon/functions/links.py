@@ -8,18 +8,75 @@ from pyspark.sql import functions as F
 from .text import col, let, utf16_length
 
 _CONTROL = r"[\x00-\x20\x7f-\x9f]+"
-#: Absolute addresses of the four safe schemes. Web schemes need a host; more slashes, or none, are accepted as browsers do.
-_SAFE = r"(?i)\A(?:https?:[/\\]*(?:[^/\\?#@]*@)?(?:[^/\\?#@:\[\]<>^|%\x00-\x20]+|\[[0-9a-f:.]+\])(?::[0-9]{0,5})?(?:[/\\?#].*)?|mailto:.*|tel:.*)\z"
+#: What no host may hold once it is decoded, and the characters of addresses in brackets.
+_FORBIDDEN = r"[\x00-\x20#/:<>?@\[\\\]^|%\x7f\ufffd]"
+_GROUPS = r"(?i)\A[0-9a-f:.]+\z"
 _IMAGE_DATA = r"(?i)\Adata:image/(?:png|jpe?g|gif|webp);base64,[a-z0-9+/=\s]+\z"
 
 
+def _number(label: Column) -> Column:
+    """A label's value as a number in one of the three forms of addresses: ``0x`` hex, ``0`` octal, decimal; else null."""
+    value = lambda digits, base: F.conv(digits, base, 10).try_cast("decimal(38,0)")
+    return (
+        F.when(label.rlike(r"(?i)\A0x[0-9a-f]*\z"), F.coalesce(value(F.regexp_replace(label, r"\A0[xX]0*", ""), 16), F.lit(0).cast("decimal(38,0)")))
+        .when(label.rlike(r"\A0[0-7]+\z"), value(label, 8))
+        .when(label.rlike(r"\A(?:0|[1-9][0-9]*)\z"), label.try_cast("decimal(38,0)"))
+    )
+
+
+def _is_ipv4(labels: Column) -> Column:
+    """One to four numbers, the last of which fills the bytes that are left."""
+    n = F.size(labels)
+    numbers = F.transform(labels, _number)
+    small = F.forall(F.slice(numbers, F.lit(1), n - 1), lambda x: x < 256)
+    return (n <= 4) & F.forall(numbers, lambda x: x.isNotNull()) & F.coalesce(small & (F.get(numbers, n - 1) < F.pow(F.lit(256.0), 5 - n).cast("decimal(20,0)")), F.lit(False))
+
+
+def _is_ipv6(inner: Column) -> Column:
+    """Eight groups of up to four hex digits, or fewer around one ``::``; the last two may be four small decimals."""
+    last = F.regexp_extract(inner, r":([0-9]+(?:\.[0-9]+)+)\z", 1)
+    whole = F.when(last != "", F.concat(F.substring(inner, F.lit(1), F.length(inner) - F.length(last)), F.lit("0:0"))).otherwise(inner)
+    dotted = (last == "") | last.rlike(r"\A(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?!\z)|\z)){4}\z")
+    groups = F.filter(F.split(whole, ":", -1), lambda g: g != "")
+    gaps = F.regexp_count(whole, F.lit("::+"))
+    fine = F.forall(groups, lambda g: g.rlike(r"(?i)\A[0-9a-f]{1,4}\z")) & ~whole.contains(":::") & ~whole.rlike(r"\A:[^:]|[^:]:\z|\A:\z")
+    return inner.rlike(_GROUPS) & dotted & fine & F.when(gaps == 0, F.size(groups) == 8).otherwise((gaps == 1) & (F.size(groups) <= 7))
+
+
+def valid_host(raw: Column) -> Column:
+    """Whether a web address may have the host: a name without forbidden characters, or an address of numbers that fits."""
+
+    def name(host: Column) -> Column:
+        labels = F.split(host, r"\.", -1)
+        labels = F.when((F.size(labels) > 1) & (F.try_element_at(labels, F.lit(-1)) == ""), F.slice(labels, F.lit(1), F.size(labels) - 1)).otherwise(labels)
+
+        def checked(labels: Column) -> Column:
+            tail = F.try_element_at(labels, F.lit(-1))
+            return F.when(tail.rlike(r"(?i)\A(?:[0-9]+|0x[0-9a-f]*)\z"), _is_ipv4(labels)).otherwise(F.lit(True))
+
+        return (host != "") & ~host.rlike(_FORBIDDEN) & let(labels, checked)
+
+    decoded = F.when(raw.contains("%"), F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))).otherwise(raw)
+    bracketed = F.endswith(raw, F.lit("]")) & _is_ipv6(F.substring(raw, F.lit(2), F.length(raw) - 2))
+    return F.coalesce(F.when(F.startswith(raw, F.lit("[")), bracketed).otherwise(let(decoded, name)), F.lit(False))
+
+
 def safe_url(raw: Column | str) -> Column:
     """The link as its author spelled it, if it is absolute and of a safe scheme, else null.
 
-    Address parsing is approximated by a pattern: hosts are not normalised, and odd characters in one are refused.
+    A web address is cut into user, host, port and what is behind as browsers do: any slashes, or none, part the scheme from
+    the host, and the last at-sign parts the user from it. Names are not looked up or mapped to ASCII.
     """
     candidate = lambda c: F.when(c.rlike(r"(?i)\Awww\."), F.concat(F.lit("https://"), c)).otherwise(c)
-    return let(let(F.regexp_replace(col(raw), _CONTROL, ""), candidate), lambda c: F.when(c.rlike(_SAFE), c))
+
+    def checked(c: Column) -> Column:
+        place = F.regexp_replace(F.regexp_extract(c, r"(?i)\Ahttps?:[/\\]*([^/\\?#]*)", 1), r"\A.*@", "")
+        port = lambda p: F.regexp_extract(p, r":([0-9]*)\z", 1)
+        host = lambda p: F.regexp_replace(p, r":[0-9]*\z", "")
+        web = let(place, lambda p: valid_host(host(p)) & F.coalesce((port(p) == "") | (port(p).try_cast("decimal(38,0)") <= 65535), F.lit(False)))
+        return F.when(c.rlike(r"(?i)\A(?:mailto|tel):"), c).when(c.rlike(r"(?i)\Ahttps?:") & web, c)
+
+    return let(let(F.regexp_replace(col(raw), _CONTROL, ""), candidate), checked)
 
 
 def safe_image_source(raw: Column | str) -> Column:

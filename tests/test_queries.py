@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from quillon import oracles, queries, state_queries
+from quillon import hard_queries, oracles, queries, state_queries  # noqa: F401
 
 QUERIES, ORACLE_SQL = queries.QUERIES | state_queries.QUERIES, oracles.ORACLE_SQL | state_queries.ORACLE_SQL
 
