@@ -14,6 +14,8 @@ from pyspark.sql.types import DataType, StructType
 SLICE = 256
 #: Rows of a batch that Spark hands to Python: whole texts differ a thousandfold in length, so batches are kept short.
 BATCH_ROWS = 512
+#: Rows of a file of a table whose size is known, and files of a small one.
+ROWS_A_FILE, FEW_FILES = 50_000, 8
 #: White space of the word rules: space and U+0009 to U+000D. ``bytes.split()`` and ``bytes.strip()`` use the same set.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
@@ -29,10 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into reliable storage and cut its lineage; survives the loss of executors."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Compute ``df`` once into reliable storage and cut its lineage; survives the loss of executors.
+
+    Where it is known to have at most ``rows`` rows, few of them make few files, whatever the number of partitions.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(FEW_FILES, rows // ROWS_A_FILE))).checkpoint(eager=True)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

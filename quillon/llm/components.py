@@ -42,6 +42,6 @@ def components(links: DataFrame) -> DataFrame:
         before = now
         if not now[0]:
             break
-        links = cut(_small_star(_large_star(links)))
+        links = cut(_small_star(_large_star(links)), now[0])  # a round adds no links
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())

@@ -8,8 +8,8 @@ of the number of trigrams. The prediction is the language with the largest propo
 Defined results: ``und`` with score 0 where a text is null or has no letter, or where nothing could be learned; equal
 proportions go to the language that sorts first. Empty, short and very long texts are taken whole. Languages are trained
 from the text alone; ids and sources take no part in a prediction. Repeated rows each get their row, and count as often in
-training. Extra columns may have any name; ``predict`` returns only those asked for. More than ``MOST_LANGUAGES`` different
-labels are refused: the model's table would outgrow a worker.
+training. Extra columns may have any name; ``predict`` returns only those asked for. An empty table gives no rows. Any number of
+labels is learned; the model grows with their distinct trigrams.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from .common import arrow_pass, crc_fold, schema_with, slices, small_enough
 BUCKETS = 1 << 16
 #: Documents expected in each language's training sample, chosen by a hash of id and text.
 SAMPLE = 4000
-#: Most languages that the model may hold: its table has BUCKETS * 4 bytes for each.
-MOST_LANGUAGES = 400
+#: Languages whose sizes are broadcast at most, a row each.
+MOST_BROADCAST = 100_000
 #: Shares of the smoothing distributions: all languages together, and the uniform one.
 SMOOTH_ALL, SMOOTH_FLAT = 0.03, 0.02
 #: Log-likelihood that a further language must add, in units of half the logarithm of the trigrams; neighbouring trigrams
@@ -62,47 +62,66 @@ def trigrams(text: str) -> np.ndarray | None:
 def sample(labelled: DataFrame, each: int = SAMPLE) -> DataFrame:
     """About ``each`` rows of every language, by a hash of id and text; no window or group is gathered."""
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    if not small_enough(sizes, MOST_LANGUAGES):
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = F.broadcast(sizes) if small_enough(sizes, MOST_BROADCAST) else sizes
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return labelled.join(F.broadcast(sizes), "lang").where(share * F.col("_n") < each).select("lang", "text")
+    return labelled.join(sizes, "lang").where(share * F.col("_n") < each).select("lang", "text")
 
 
 class Model:
-    """Trigram probabilities: one row a bucket, one column a language, in sorted order of the languages."""
+    """Trigram probabilities of any number of languages, by bucket: what all languages have of it, and what those add that were
+    seen with it. So it grows with the distinct trigrams of the languages (12 bytes each) and not with their number alone, and
+    a text is weighed against the languages that share trigrams with it; all others are alike to it.
+    """
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
+    def __init__(self, languages: list[str], lang: np.ndarray, bucket: np.ndarray, n: np.ndarray):
         self.languages = languages
-        total = counts.sum(1, keepdims=True)
-        pooled = counts.sum(0) / max(counts.sum(), 1)
-        own = counts / np.maximum(total, 1)
-        mixed = (1 - SMOOTH_ALL - SMOOTH_FLAT) * own + SMOOTH_ALL * pooled + SMOOTH_FLAT / BUCKETS
-        self.p = np.ascontiguousarray(mixed.T.astype(np.float32))
+        total = np.bincount(lang, n, len(languages))
+        pooled = np.bincount(bucket, n, BUCKETS) / max(n.sum(), 1)
+        self.common = SMOOTH_ALL * pooled + SMOOTH_FLAT / BUCKETS
+        order = np.lexsort((lang, bucket))
+        self.lang, self.own = lang[order].astype(np.int32), (1 - SMOOTH_ALL - SMOOTH_FLAT) * n[order] / total[lang[order]]
+        self.starts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
 
     def proportions(self, found: np.ndarray) -> np.ndarray:
         """Shares of the languages in trigrams ``found``; nought outside the chosen set."""
         kinds, times = np.unique(found, return_counts=True)
-        p, times = self.p[kinds].astype(np.float64), times.astype(np.float64)
-        n = times.sum()
-        likelihood = times @ np.log(p)
-        share = np.zeros(len(self.languages))
+        times, common = times.astype(np.float64), self.common[kinds]
+        n, many = times.sum(), len(self.languages)
+        # what the languages add to the text's trigrams: its kind, the language, and how much
+        each = self.starts[kinds + 1] - self.starts[kinds]
+        kind = np.repeat(np.arange(len(kinds)), each)
+        at = np.arange(len(kind)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(self.starts[kinds], each)
+        lang, own = self.lang[at], self.own[at]
+        columns: dict[int, np.ndarray] = {}
+
+        def of(chosen: list[int]) -> np.ndarray:
+            """The probabilities of the text's trigrams in some languages."""
+            for i in chosen:
+                if i not in columns:
+                    columns[i] = common.copy()
+                    hit = lang == i
+                    columns[i][kind[hit]] += own[hit]
+            return np.stack([columns[i] for i in chosen], 1)
+
+        likelihood = times @ np.log(common) + np.bincount(lang, times[kind] * np.log1p(own / common[kind]), many)
         chosen = [int(np.argmax(likelihood))]
-        share[chosen] = 1.0
-        best = likelihood[chosen[0]]
+        weights, best = np.ones(1), likelihood[chosen[0]]
         penalty = PENALTY * 0.5 * np.log(n + 1)
-        while len(chosen) < len(self.languages):
+        while len(chosen) < many:
             # The likelihood is concave: only a language with a positive slope can raise it, and it by no more than the slope.
-            slope = (times / (p @ share)) @ p - n
+            rate = times / (of(chosen) @ weights)
+            slope = rate @ common + np.bincount(lang, rate[kind] * own, many) - n
             slope[chosen] = -np.inf
             next_one = int(np.argmax(slope))
             if slope[next_one] <= penalty:
                 break
             tried = [*chosen, next_one]
-            weights, value = self._em(p[:, tried], times, n, np.append(share[chosen] * 0.9, 0.1))
+            found_weights, value = self._em(of(tried), times, n, np.append(weights * 0.9, 0.1))
             if value - best <= penalty:
                 break
-            chosen, best = tried, value
-            share[chosen] = weights
+            chosen, best, weights = tried, value, found_weights
+        share = np.zeros(many)
+        share[chosen] = weights
         return share
 
     @staticmethod
@@ -134,9 +153,8 @@ def train(labelled: DataFrame, each: int = SAMPLE) -> Model:
 
     counted = arrow_pass(sample(labelled, each), run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counted["lang"].unique())
-    counts = np.zeros((len(languages), BUCKETS))
-    counts[counted["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64), counted["bucket"].to_numpy(np.int64)] = counted["n"].to_numpy(float)
-    return Model(languages, counts)
+    lang = counted["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64)
+    return Model(languages, lang, counted["bucket"].to_numpy(np.int64), counted["n"].to_numpy(float))
 
 
 def predict(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:

@@ -254,24 +254,28 @@ def _core_sums(near: DataFrame, share: float) -> DataFrame:
     return run.where(F.col("_before") < share * F.col("_all")).groupBy("g", "s").agg(*[F.sum(x).alias(x) for x in _SUMS])
 
 
-def fit(cells: DataFrame, finest: np.ndarray) -> DataFrame:
-    """``g, center, inverse, log_det`` of each group of ``cells`` (``g``, the features and ``m``, how many rows have them)."""
+def fit(cells: DataFrame, finest: np.ndarray, groups: int | None = None) -> DataFrame:
+    """``g, center, inverse, log_det`` of each group of ``cells`` (``g``, the features and ``m``, how many rows have them).
+
+    ``groups`` is their number, if it is known; each has a row, or one for each start, in the tables on the way.
+    """
     long = cells.select("g", "m", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(x).alias("x")) for i, x in enumerate(FEATURES)])).alias("f")).select("g", "m", "f.i", "f.x")
     pivot = lambda t, v, out: t.groupBy("g").agg(F.expr(f"transform(array_sort(collect_list(struct(i, {v}))), z -> z.{v})").alias(out))  # noqa: E731  P rows a group
-    center = cut(pivot(weighted_quantile(long, ["g", "i"], F.col("x"), 0.5, "v"), "v", "center"))
+    center = cut(pivot(weighted_quantile(long, ["g", "i"], F.col("x"), 0.5, "v"), "v", "center"), groups)
     broadcast = small_enough(center, MOST_BROADCAST)
+    starts = None if groups is None else STARTS * groups
     floors = np.maximum(pooled_spread(cells, center, broadcast), finest)
     floors = np.where(floors > 1e-6, floors, 1.0)
     spread = _with(long, center, broadcast).select("g", "m", "i", F.abs(F.col("x") - F.col("center")[F.col("i")]).alias("x"))
     mad = pivot(weighted_quantile(spread, ["g", "i"], F.col("x"), 0.5, "v"), "v", "mad")
-    first = cut(center.join(mad, "g"))
+    first = cut(center.join(mad, "g"), groups)
     known = _with(cells, first, broadcast)
     z = [(F.col(x) - F.col("center")[i]) / F.greatest(F.col("mad")[i] * 1.4826, F.lit(float(floors[i]))) for i, x in enumerate(FEATURES)]
     norm = F.sqrt(sum((x * x for x in z[1:]), z[0] * z[0]))
     signs = [F.when(norm > 0, x / norm).otherwise(0.0) for x in z]
     bounded = [x.alias(f"t_{n}") for x, n in zip(_sums([F.tanh(x) for x in z]), _SUMS)]
     spatial = [x.alias(f"u_{n}") for x, n in zip(_sums(signs), _SUMS)]
-    params = cut(_with(known.groupBy("g").agg(*bounded, *spatial), first, broadcast).mapInPandas(_starts(floors), _PARAMS))
+    params = cut(_with(known.groupBy("g").agg(*bounded, *spatial), first, broadcast).mapInPandas(_starts(floors), _PARAMS), starts)
     broadcast = small_enough(params, MOST_BROADCAST)
     for _ in range(MOST_STEPS):
         going = params.where(~F.col("done"))
@@ -280,14 +284,14 @@ def fit(cells: DataFrame, finest: np.ndarray) -> DataFrame:
         near = _with(cells, going, broadcast).withColumn("d", squared_distance())
         sums = _core_sums(near.select("g", "s", "m", "d", *FEATURES), CORE).join(F.broadcast(going) if broadcast else going, ["g", "s"])
         stepped = sums.mapInPandas(_concentrated(floors, consistency(CORE)), _PARAMS)
-        params = cut(stepped.unionByName(params.where("done")))
+        params = cut(stepped.unionByName(params.where("done")), starts)
     least = params.groupBy("g").agg(F.min(F.struct("log_det", "s", "center", "inverse")).alias("p")).select("g", "p.center", "p.inverse", "p.log_det")
-    least = cut(least)
+    least = cut(least, groups)
     limit = chi_square_quantile(REWEIGHT, P)
     inner = _with(cells, least, broadcast).where(squared_distance() <= limit).withColumn("s", F.lit(0))
     last = _with(inner.groupBy("g", "s").agg(*_sums([F.col(x) for x in FEATURES])), least.withColumns({"done": F.lit(False), "log_det": F.lit(math.inf)}), broadcast)
     final = last.mapInPandas(_concentrated(floors, consistency(REWEIGHT)), _PARAMS).select("g", "center", "inverse")
-    return cut(final.join(least.select("g", "log_det"), "g"))
+    return cut(final.join(least.select("g", "log_det"), "g"), groups)
 
 
 def _grouped(stats: DataFrame) -> DataFrame:
@@ -302,8 +306,9 @@ def learn(stats: DataFrame) -> DataFrame:
     fine = cut(passing.groupBy("g", "g_lang", "g_all", *FEATURES).agg(F.count(F.lit(1)).alias("m")))
     levels = fine.select(F.explode(F.array("g", "g_lang", "g_all")).alias("g"), "m", *FEATURES).groupBy("g", *FEATURES).agg(F.sum("m").alias("m"))
     sizes = cut(levels.groupBy("g").agg(F.sum("m").alias("n")).where(F.col("n") >= MIN_GROUP).select("g"))
-    cells = cut(_with(levels, sizes, small_enough(sizes, MOST_BROADCAST)))
-    return fit(cells, resolution(passing))
+    groups = sizes.count()
+    cells = cut(_with(levels, sizes, groups <= MOST_BROADCAST))
+    return fit(cells, resolution(passing), groups)
 
 
 def verdict(stats: DataFrame, params: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:

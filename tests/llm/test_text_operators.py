@@ -278,6 +278,30 @@ def test_language_mixture(docs, odd, empty):
     assert {r["lang_pred"] for r in langid.held_out_predictions(unlabelled).collect()} == {"und"}
 
 
+def dense(model):
+    """The model's probabilities as a table of buckets and languages."""
+    found = np.repeat(model.common[:, None], len(model.languages), 1)
+    found[np.repeat(np.arange(langid.BUCKETS), np.diff(model.starts)), model.lang] += model.own
+    return found
+
+
+def test_a_thousand_languages(spark):
+    """Each has words of its own and some that all have; none is refused, and mixtures of two are told."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßñçéèåøœæłžšđþðαβγδεζηθικλμνξοπρστυφχψω"
+    own = {f"l{k:04d}": ["".join(rng.choice(letters) for _ in range(7)) for _ in range(12)] for k in range(1000)}
+    say = lambda lang, n: " ".join(rng.choice(own[lang] + ["common", "words"]) for _ in range(n))
+    rows = [(k, say(lang, 40), lang, None, 0) for k, lang in enumerate(own)]
+    rows += [(5000 + k, say(lang, 40), None, None, 0) for k, lang in enumerate(own)]
+    table = spark.createDataFrame(rows, DOCS)
+    model = langid.train(table.where("lang IS NOT NULL").select("doc_id", "text", "lang"))
+    assert len(model.languages) == 1000 and np.allclose(dense(model).sum(0), 1)
+    found = {r["doc_id"]: r for r in langid.predict(table, model, ["doc_id"]).collect()}
+    assert sum(found[5000 + k]["lang_pred"] == lang for k, lang in enumerate(own)) >= 995
+    share = model.proportions(langid.trigrams(say("l0007", 80) + " " + say("l0900", 40)))
+    assert np.argsort(-share)[:2].tolist() == [7, 900] and 0.5 < share[7] < 0.78 and share[7] + share[900] > 0.85
+
+
 def test_language_set_is_the_best_of_all_sets(docs):
     """Every set of languages by expectation-maximisation, penalised by its size, against the set that is grown."""
     model = langid.train(docs.select("doc_id", "text", "lang"))
@@ -286,7 +310,7 @@ def test_language_set_is_the_best_of_all_sets(docs):
     for text in texts:
         found = langid.trigrams(text)
         kinds, times = np.unique(found, return_counts=True)
-        p, n = model.p[kinds].astype(float), len(found)
+        p, n = dense(model)[kinds], len(found)
         penalty = langid.PENALTY * 0.5 * np.log(n + 1)
         scored = {}
         for code in range(1, 1 << len(model.languages)):
@@ -298,7 +322,7 @@ def test_language_set_is_the_best_of_all_sets(docs):
 
 def test_equal_proportions_go_to_the_first_language():
     counts = np.ones((3, langid.BUCKETS))
-    share = langid.Model(["a", "b", "c"], counts).proportions(langid.trigrams("some words here"))
+    share = langid.Model(["a", "b", "c"], *(x.astype(np.int64) for x in np.nonzero(counts)), counts[np.nonzero(counts)]).proportions(langid.trigrams("some words here"))
     assert share.tolist() == [1.0, 0.0, 0.0]
 
 
