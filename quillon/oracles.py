@@ -103,7 +103,7 @@ ORACLE_SQL: dict[str, str] = {
         x AS (SELECT *, CASE WHEN tag = 'br' THEN chr(10) WHEN tag = '' THEN (SELECT {_DECODED} FROM (SELECT regexp_replace(b.token, '[{_S}]+', ' ', 'g') AS token)) END AS v FROM b),
         j AS (SELECT page_id, block, any_value(owner) AS tag, string_agg(v, '' ORDER BY n) AS v FROM x WHERE v IS NOT NULL GROUP BY page_id, block),
         f AS (SELECT 'p' || page_id AS id, block::BIGINT AS block, coalesce(tag, 'p') AS tag, regexp_replace(regexp_replace(regexp_replace(v, '[ \t]*\n[ \t]*', chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS text FROM j)
-        SELECT * FROM f WHERE text <> ''""",
+        SELECT id, row_number() OVER (PARTITION BY id ORDER BY block) AS block, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 'h' WHEN tag IN ('li', 'td', 'th') THEN replace(tag, 'th', 'td') ELSE 'p' END AS tag, text FROM f WHERE text <> ''""",
     "q_page_audit": rf"""SELECT page_id, regexp_matches(html, '(?i)<(?:script|iframe|object|embed)\b|<[^>]+\son[a-z]+\s*=|href\s*=\s*["'']?\s*(?:javascript|data|vbscript):') AS unsafe,
         regexp_matches(html, '(?i)<(?:style|font)\b|<[^>]+\s(?:style|class|face|color|bgcolor)\s*=') AS styles, regexp_matches(html, '(?i)<o:p|mso-|urn:schemas-microsoft-com') AS office,
         CASE WHEN regexp_matches(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&nbsp;', ''), '[^{_S}]') THEN 'html' ELSE 'empty' END AS kind FROM pages""",
@@ -172,3 +172,22 @@ ORACLE_SQL["q_feedback"] = f"""SELECT event_id, CASE reason WHEN 'not-delivered'
         CASE WHEN reason IN ('not-delivered', 'already-cleaned', 'nothing-to-fix', 'transform-failed') AND event_id % 2 = 0 THEN 'Gmail' END AS meta,
         CASE reason WHEN 'not-delivered' THEN CASE WHEN event_id % 2 = 0 THEN 'Gmail' ELSE 'This editor' END || ' didn’t accept the cleaned version, so this was a normal paste.' WHEN 'already-cleaned' THEN 'This was cleaned before it was pasted.' WHEN 'plain-paste-shortcut' THEN 'That shortcut is the browser’s own plain paste, which is left alone.'
         WHEN 'files' THEN 'Images and files pass through untouched.' WHEN 'nothing-to-fix' THEN 'Already clean: nothing to fix.' WHEN 'transform-failed' THEN 'Nothing here could be improved.' END AS lines FROM ({ORACLE_SQL["q_skip_reason"]}) WHERE reason IS NOT NULL"""
+
+def paragraphs(source: str, key: str) -> str:
+    """Lines of ``t`` of a table by ``key`` as paragraphs ``blk, para`` with their ``text``, number of lines and whether they were wrapped."""
+    return f"""WITH l AS (SELECT {key}, n, {_trim("line")} AS raw FROM (SELECT {key}, unnest(s) AS line, generate_subscripts(s, 1) AS n FROM (SELECT {key}, string_split(t, chr(10)) AS s FROM {source}))),
+        g AS (SELECT *, sum((raw = '')::INT) OVER (PARTITION BY {key} ORDER BY n) AS blk FROM l),
+        x AS (SELECT *, lead(raw) OVER w AS nx, max(length(raw)) OVER (PARTITION BY {key}, blk) AS mx FROM g WHERE raw <> '' WINDOW w AS (PARTITION BY {key}, blk ORDER BY n)),
+        a AS (SELECT *, count(nx) OVER (PARTITION BY {key}, blk) AS body, sum((nx IS NOT NULL AND length(raw) >= 0.6 * mx)::INT) OVER (PARTITION BY {key}, blk) AS long, sum((nx IS NOT NULL AND NOT regexp_matches(raw, '{_END}'))::INT) OVER (PARTITION BY {key}, blk) AS open FROM x),
+        b AS (SELECT *, body >= 1 AND mx >= 40 AND long / body >= 0.6 AND open > 0 AS wrapped FROM a),
+        c AS (SELECT *, (wrapped AND nx IS NOT NULL AND ((length(raw) < 0.7 * mx AND NOT regexp_matches(raw, '[,-]$')) OR (regexp_matches(raw, '{_END}') AND length(nx) < 0.7 * mx AND regexp_matches(nx, '^[A-Z0-9]'))))::INT AS e FROM b),
+        d AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY {key}, blk ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS para, regexp_replace(raw, '[ \t]{{2,}}', ' ', 'g') AS tidy FROM c),
+        p AS (SELECT {key}, blk, para, wrapped, count(*) AS n_lines, CAST(sum(len(regexp_extract_all(raw, '[ \t]{{2,}}'))) AS BIGINT) AS runs, CASE WHEN wrapped THEN string_agg(tidy, ' ' ORDER BY n) ELSE string_agg(tidy, chr(10) ORDER BY n) END AS text FROM d GROUP BY {key}, blk, para, wrapped)"""
+
+
+ORACLE_SQL["q_transform_plain"] = f"""{paragraphs("(SELECT doc_id, text AS t FROM documents)", "doc_id")}, w AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY blk, para) AS text FROM p GROUP BY doc_id)
+    SELECT 'd' || s.doc_id AS id, w.text IS NOT NULL AS ok, kind, {_LABEL} AS label, w.text FROM {_SOURCE} s LEFT JOIN w USING (doc_id)"""
+ORACLE_SQL["q_dirty_notes"] = f"""{paragraphs(f"(SELECT doc_id, {_CLEAN} AS t FROM {_DIRTY})", "doc_id")},
+    w AS (SELECT doc_id, CAST(sum(runs) AS BIGINT) AS whitespace, CAST(sum((wrapped AND n_lines > 1)::INT) AS BIGINT) AS reflow, count(DISTINCT blk) AS blocks FROM p GROUP BY doc_id),
+    e AS (SELECT doc_id, count(*) FILTER (WHERE raw = '') AS blanks FROM l GROUP BY doc_id)
+    SELECT h.doc_id, {_HIDDEN}::BIGINT AS hidden, whitespace, reflow, (blanks - greatest(blocks - 1, 0))::BIGINT AS blank_lines FROM {_DIRTY} h JOIN w USING (doc_id) JOIN e USING (doc_id)"""

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quillon import dimensions
 from quillon.functions import css, detect, feedback, links, text
 from quillon.functions.inline import inline_html, inline_text
-from quillon.operators import lines, linescan, markup, relational, styles, tables
+from quillon.operators import htmlscan, lines, linescan, markup, relational, styles, tables
+from quillon.operators.runs import runs_of
 from quillon.streaming.store import upsert
 from quillon.plans.transform import note_counts, transform
 from quillon.sources.tables import all_payloads, dirty, document_payloads, page_payloads, spread, table, tab_rows, wrapped
@@ -94,8 +95,12 @@ def q_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = markup.page_blocks(page_payloads(table(spark, sf_dir, "pages")))
-    return found.select("id", F.col("block").cast("bigint").alias("block"), "tag", "text")
+    """Texts of pages block by block, as the whole way reads them."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), "html")
+    pieces = runs_of(htmlscan.html_units(pages).withColumn("info", F.lit(None).cast("string")).repartition("key")).where("shown AND plain <> '' AND kind IN ('text', 'heading', 'list', 'table', 'code')")
+    tag = F.element_at(F.create_map(*[F.lit(x) for x in ("text", "p", "heading", "h", "list", "li", "table", "td", "code", "pre")]), F.col("kind"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("block", "item", "row", "col", "para", "sub"))
+    return pieces.select(F.concat(F.lit("p"), F.col("key").cast("string")).alias("id"), place.cast("bigint").alias("block"), tag.alias("tag"), F.col("plain").alias("text"))
 
 
 @query
@@ -335,6 +340,14 @@ def q_transform_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform(document_payloads(table(spark, sf_dir, "documents")), "plain").select("id", "ok", "kind", "label", "text")
 
 
+@query
+def q_dirty_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the whole way tells of texts with flaws: characters, spaces, lines and paragraphs that were mended."""
+    found = transform(_dirty(spark, sf_dir).select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("html"), F.col("t").alias("text")), "plain")
+    noted = lambda name: F.coalesce(F.get(F.filter("notes", lambda n: n["note"] == name), F.lit(0))["count"], F.lit(0)).cast("bigint").alias(name.replace("-", "_").replace("hidden_chars", "hidden"))
+    return found.where("ok").select(F.col("id").alias("doc_id"), noted("hidden-chars"), noted("whitespace"), noted("reflow"), noted("blank-lines"))
+
+
 @query
 def q_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with marks, lists, tables and quotes made of orders, for three destinations, with their notes."""

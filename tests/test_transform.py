@@ -134,9 +134,13 @@ def test_skip_order(spark):
     assert one.select(detect.skip_reason(facts | {"html": F.lit(detect.CLEANED_MARKER)})).first()[0] == "already-cleaned"
 
 
-def test_bold_goes_on_behind_an_unclosed_tag(spark):
-    found = markup.page_blocks(spark.createDataFrame([("p", "<p>a <b>b<p>c</p><h1>d</h1>", None)], SCHEMA)).orderBy("block").collect()
-    assert [r["html"] for r in found] == ["a <strong>b</strong>", "<strong>c</strong>", "d"]
+def test_audit_looks_at_tags_alone(spark):
+    cases = {
+        "<!-- <script>x</script> <font> --><p>a</p>": (False, False), "<p title='<script> onx= style='>a</p>": (False, False), "<p>say onclick=3 style=4 &lt;script></p>": (False, False), "<script>var a='<font color=1>'</script>": (True, False),
+        "<p ONCLICK = 'x'>": (True, False), "<a href=' javascript:x'>": (True, False), "<a\nstyle=x>": (False, True), "<p data-x=\"a>b\" class='c'>": (False, True), "x < y style= >": (False, False), "<style>p{ onx=1 }": (False, True),
+    }
+    found = spark.createDataFrame([(h,) for h in cases], "h string").select("h", *[v.alias(k) for k, v in markup.audit(F.col("h")).items()]).collect()
+    assert {r["h"]: (r["unsafe"], r["styles"]) for r in found} == cases
 
 
 def test_lists_keep_going_behind_blank_lines(spark):
