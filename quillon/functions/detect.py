@@ -100,7 +100,9 @@ def is_tab_row(line: Column) -> Column:
 
 
 def has_visible_text(html: Column) -> Column:
-    return F.replace(F.regexp_replace(html, r"<[^>]*>", ""), F.lit("&nbsp;"), F.lit("")).rlike(rf"[^{SPACE}]")
+    rest = F.substring_index(html, ">", -1)  # no tag ends there, so none is looked for: many signs would each look to the end
+    tagged = F.substring(html, F.lit(1), F.length(html) - F.length(rest))
+    return F.replace(F.concat(F.regexp_replace(tagged, r"<[^>]*>", ""), rest), F.lit("&nbsp;"), F.lit("")).rlike(rf"[^{SPACE}]")
 
 
 def chunks_of(text: Column) -> Column:
