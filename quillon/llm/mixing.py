@@ -7,7 +7,7 @@ every pass over a source visits its blocks in an order of its own, whole passes
 at the block nearest to the budget. Documents follow their block, so no source is sorted or gathered.
 
 Defined results: null sources are a source of their own; null and blank texts count no token and follow their block;
-repeated rows share a block and are mixed as often as they occur; an empty table gives no rows. With fewer than two sources
+repeated rows share a block and are mixed as often as they occur; texts of any length are taken whole; an empty table gives no rows. With fewer than two sources
 with tokens, the exponent is 1. Sources with equal shares get equal weights; blocks are ordered by a hash, then by number.
 """
 

@@ -6,7 +6,8 @@ windows still open at a partition's end are merged with those of its neighbours,
 placing pieces from the longest down. Texts are never shuffled; only pieces of the open windows move.
 
 Defined results: a null or empty text is one piece with the end id alone; repeated rows are packed as often as they occur;
-an empty table gives no rows.
+texts of any length are cut into as many pieces as they need; an empty table gives no rows. Only ``doc_id`` and ``text`` are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations

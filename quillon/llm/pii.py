@@ -8,7 +8,7 @@ Kinds: ``email``, ``ip``, ``card``, ``phone`` (the base rules, leftmost and non-
 adds: ``account`` (an IBAN with right check digits, or 6 to 17 digits right behind an account cue) and ``login`` (user and
 password in a URL). Spans count code points, end exclusive.
 
-Defined results: a null text counts as empty and has no span; texts of any length are taken whole; repeated rows each get
+Defined results: a null text counts as empty and has no span; an empty table gives no rows; texts of any length are taken whole; repeated rows each get
 their row. Where items of several kinds share characters each is reported, and redaction makes one mark of them, named by
 the item that begins first, or the longer or earlier listed one where two begin together. Extra columns may have any name;
 ``find`` returns only those asked for, which must not be named like its results.

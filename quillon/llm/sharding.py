@@ -6,7 +6,8 @@ counts differ by one at most, slots have no gaps, and both directions can be com
 rows and the seed alone. Texts are not moved: only id, size and checksum travel to be numbered.
 
 Defined results: null ids come first; rows that share an id are ordered by checksum and size; a null text has size 16 and the
-checksum of the empty text; an empty table gives no rows.
+checksum of the empty text; texts of any length are taken whole; an empty table gives no rows. Only ``doc_id`` and ``text`` are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ each is linked with the bucket's smallest only. Copies were folded into one fing
 
 Defined results: null and empty texts and texts without a word have fingerprint zero and are linked like others; texts under
 the shingle length give one shingle; ``component_id`` is null only where every document of a component has a null id.
-Repeated rows each get their row. Extra columns may have any name; results named like a column asked for are not allowed.
+Repeated rows each get their row, texts of any length are taken whole, an empty table gives no rows. Extra columns may have any name; results named like a column asked for are not allowed.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Documents are dealt by ranges of their id and each task writes its own files in
 repeats, first under a hidden name; only the rows that the tasks return tell where a file's ids begin in the whole.
 
 Defined results: null ids sort first; a null text is empty and leaves the end id only; rows that share an id follow each
-other in the order of a hash of their text; an empty table gives no file and no row.
+other in the order of a hash of their text; texts of any length are taken whole; an empty table gives no file and no row.
+Only ``doc_id`` and ``text`` are read, so other columns may have any name.
 """
 
 from __future__ import annotations
