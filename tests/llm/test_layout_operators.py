@@ -6,6 +6,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -180,6 +182,17 @@ def test_neighbours(spark):
     assert len(hits) >= 45
 
 
+def test_neighbours_of_many_scales(spark, tmp_path):
+    """Lengths over several powers of ten: the short rows share a list and must still be told apart."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(20000, 64)) * np.exp(2 * rng.normal(size=(20000, 1)))
+    pq.write_table(pa.table({"vec_id": rng.permutation(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float64()))}), tmp_path / "rows.parquet")
+    rows = spark.read.parquet(f"file://{tmp_path}/rows.parquet")
+    pairs = lambda found: {(r["query_id"], r["vec_id"]) for r in found.collect()}
+    true = pairs(ann.exact(rows, F.col("vec_id") % 100 == 0))
+    assert len(true) == 2000 and len(true & pairs(ann.search(rows, F.col("vec_id") % 100 == 0))) >= 0.95 * len(true)
+
+
 def test_neighbours_odd(spark):
     schema = "vec_id bigint, embedding array<float>, label int"
     nan, inf = float("nan"), float("inf")
