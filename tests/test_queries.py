@@ -49,3 +49,14 @@ def test_entry(spark):
     found = rows.collect()
     assert len({r["id"] for r in found}) == len(found) > 0
     assert all(r["text"] for r in found if r["ok"]) and not any("<script" in (r["html"] or "") for r in found)
+
+
+def test_page_blocks_keep_their_tags_and_numbers(spark, tmp_path):
+    html = "<div><h2>One &amp;</h2><h4>Two</h4><pre>three</pre></div><table><tr><th>four</th><td>five</td></tr></table><blockquote>six</blockquote>"
+    spark.createDataFrame([(1, html), (2, "<h3>Seven &amp")], "page_id bigint, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    found = [tuple(r) for r in QUERIES["q_page_blocks"](spark, f"file://{tmp_path}").collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert sorted(found) == sorted(con.execute(ORACLE_SQL["q_page_blocks"]).fetchall())
+    tags = {text: tag for _, _, tag, text in found}
+    assert tags == {"One &": "h2", "Two": "h4", "three": "pre", "four": "th", "five": "td", "six": "blockquote", "Seven &amp": "h3"}
