@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.inline import inline_html, inline_nodes
 from quillon.sources.shared import shared_path
-from quillon.sources.tables import table
+from quillon.sources.tables import spread, table
 from quillon.streaming import outcomes, pastes, profiles, shortcuts
 from quillon.streaming.store import Store
 
@@ -90,7 +90,7 @@ _LISTS = "[" + ", ".join("[" + ", ".join(f"'{k}'" for k in o) + "]" for o in _OR
     SELECT p_partkey, string_agg(h5, '' ORDER BY p) AS html, CAST(any_value(d - list_contains(kinds, 'link')::INT + (p_partkey % 2 = 0)::INT) AS BIGINT) AS emphasis, any_value(list_contains(kinds, 'link')::BIGINT) AS links FROM html5 GROUP BY p_partkey""")
 def q_nested_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks in each other, up to all six around code: read to the innermost."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", _nested(F.col("p_partkey")).alias("t"))
+    rows = spread(table(spark, sf_dir, "part")).select("p_partkey", _nested(F.col("p_partkey")).alias("t"))
     nodes = inline_nodes("t", F.lit(True))
     total = lambda field: F.aggregate(nodes, F.lit(0), lambda n, x: n + x[field]).cast("bigint")
     return rows.select("p_partkey", inline_html("t", F.lit(True)).alias("html"), total("emphasis").alias("emphasis"), total("links").alias("links"))

@@ -60,3 +60,9 @@ def test_page_blocks_keep_their_tags_and_numbers(spark, tmp_path):
     assert sorted(found) == sorted(con.execute(ORACLE_SQL["q_page_blocks"]).fetchall())
     tags = {text: tag for _, _, tag, text in found}
     assert tags == {"One &": "h2", "Two": "h4", "three": "pre", "four": "th", "five": "td", "six": "blockquote", "Seven &amp": "h3"}
+
+
+@pytest.mark.parametrize("name", ["q_inline", "q_nested_marks", "q_line_blocks"])
+def test_tables_of_one_split_are_dealt_out(name, spark, sf_dir):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "RoundRobinPartitioning(4)" in plan
