@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import detect, links, text
 from quillon.operators import lines, linescan, markup, relational, styles, tables
 from quillon.plans.transform import transform
+from quillon.sources.tables import partitions_of
 from quillon.streaming.attribution import attribute_stream
 
 SCHEMA = "id string, html string, text string"
@@ -197,3 +199,11 @@ def test_results_in_a_learned_style(spark):
 def test_notes_are_json(spark):
     row = transform(spark.createDataFrame([("x", None, "a\u200bb")], SCHEMA), "rich").select(F.to_json("notes").alias("j")).first()
     assert json.loads(row["j"]) == [{"note": "hidden-chars", "count": 1, "message": "Removed 1 invisible character"}]
+
+
+def test_partitions_grow_with_the_payloads(spark):
+    rows = spark.range(40).selectExpr("id", "CAST(NULL AS STRING) AS html", "repeat('some words ', 20000) AS text")
+    plan = transform(rows, "plain")._jdf.queryExecution().toString()
+    parts = {int(n) for n in re.findall(r"hashpartitioning\(key#\d+L, (\d+)\)", plan)}
+    assert partitions_of(rows, "html", "text") == 9 and parts == {9}  # 8.8 million bytes; the session's own number is 4
+    assert partitions_of(rows.limit(0), "text") == 4
