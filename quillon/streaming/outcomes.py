@@ -4,54 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from quillon.operators.relational import last_by_key
 
-from .profiles import STATE_STORE
-
-_ENTRY = "at bigint, id bigint, what string"
-
+from .profiles import STATE_STORE, Expiry
 
 class _Ring(StatefulProcessor):
-    """The newest ``n`` outcomes of a key; a timer empties the ring after a long silence."""
+    """The newest ``n`` outcomes of a key; a timer empties the ring after a long silence. State is one value."""
 
     def __init__(self, n: int, keep_ms: int) -> None:
         self.n, self.keep_ms = n, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.ring = handle.getListState("ring", _ENTRY)
-        self.timer = handle.getValueState("timer", "at bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in self.ring.get()]
-        for frame in rows:
-            new = frame.sort_values(["at", "id"]).tail(self.n)  # no more can stay
-            held = sorted({*held, *zip(new["at"].astype(int).tolist(), new["id"].astype(int).tolist(), new["what"].tolist())}, key=lambda r: r[:2], reverse=True)[: self.n]
-        self.ring.put(held)
-        timer = max(held[0][0] // 1000, timerValues.getCurrentWatermarkInMs()) + self.keep_ms
-        old = self.timer.get()[0] if self.timer.exists() else None
-        if timer != old:
-            if old is not None:
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(timer)
-            self.timer.update((timer,))
-        yield self._row(key, held)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        newest = [tuple(r) for r in self.ring.get()][:1]
-        self.ring.clear()
-        self.timer.clear()
-        yield self._row(key, newest, gone=True)
-
-    def _row(self, key, held, gone: bool = False) -> pd.DataFrame:
+        self.expiry = Expiry(handle, self.keep_ms)
+        self.ring = handle.getValueState("ring", "ats array<bigint>, ids array<bigint>, whats array<string>, ends bigint")
+
+    def _newest(self, rows: set) -> list[tuple]:
+        return sorted(rows, key=lambda r: (*r[:2], r[2] or ""), reverse=True)[: self.n]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        old = self.ring.get()
+        held = set() if old is None else set(zip(*old[:3]))
+        for row in rows:
+            held.add((row["at"], row["id"], row["what"]))
+            if len(held) > 100 + 2 * self.n:  # no more than n can stay
+                held = set(self._newest(held))
+        ring = self._newest(held)
+        ends = self.expiry.seen(ring[0][0], timerValues, old is not None)
+        self.ring.update((*map(list, zip(*ring)), ends))
+        yield self._row(key, ring)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        old = self.ring.get()
+        if self.expiry.over(old[3], timerValues):
+            self.ring.clear()
+            yield self._row(key, list(zip(*old[:3])), gone=True)
+
+    def _row(self, key, held, gone: bool = False) -> Row:
         ring = [] if gone else [{"at": a, "id": i, "what": w} for a, i, w in held]
-        return pd.DataFrame({"key": [key[0]], "at": [held[0][0]], "id": [held[0][1]], "ring": [ring], "gone": [gone]})
+        return Row(key=key[0], at=held[0][0], id=held[0][1], ring=ring, gone=gone)
 
     def close(self) -> None:
         pass
@@ -65,7 +60,7 @@ def ring_stream(outcomes: DataFrame, n: int = 5, late: str = "1 hour", keep_days
     """
     outcomes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     rows = outcomes.withWatermark("ts", late).select("key", F.col("ts").alias("_time"), F.unix_micros("ts").alias("at"), F.col("id").cast("bigint").alias("id"), "what")
-    return rows.groupBy("key").transformWithStateInPandas(_Ring(n, keep_days * 86_400_000), "key bigint, at bigint, id bigint, ring array<struct<at: bigint, id: bigint, what: string>>, gone boolean", "Update", "EventTime")
+    return rows.groupBy("key").transformWithState(_Ring(n, keep_days * 86_400_000), "key bigint, at bigint, id bigint, ring array<struct<at: bigint, id: bigint, what: string>>, gone boolean", "Update", "EventTime")
 
 
 def newest_keys(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:

@@ -1,17 +1,16 @@
 """Learned styles as state: a profile of roles for each document scope, from a stream of samples and of what users do to it.
 
-State is a map of roles, each with the order of the sample that taught it, and the order of the last reset. What a scope holds
+State is the value of each role with the order of the sample that taught it, and the order of the last reset. What a scope holds
 depends on the events alone, not on how they are dealt out to batches: of each role the newest value that is not older than
 the last reset. An ``auto`` event adds what it knows, a ``replace`` event holds alone, a ``forget`` event leaves nothing. A scope
-that hears nothing for ``keep_days`` of event time is forgotten. Memory is one frame of rows and one profile a scope.
+that hears nothing for ``keep_days`` of event time is forgotten. Memory is one row and one profile a scope.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -35,55 +34,66 @@ def taught(samples: DataFrame, action: str = "auto") -> DataFrame:
     return styles.learn(micros).select("scope", F.timestamp_micros("at").alias("at"), F.lit(0).cast("bigint").alias("seq"), F.lit(action).alias("action"), *roles)
 
 
+class Expiry:
+    """When a key's state ends. A key has one timer, which is moved only when it fires: not at every batch that it hears of."""
+
+    def __init__(self, handle: StatefulProcessorHandle, keep_ms: int) -> None:
+        self.handle, self.keep_ms = handle, keep_ms
+
+    def seen(self, newest: int, timerValues, timed: bool) -> int:
+        """The end after an event at ``newest`` (microseconds); a key without a timer gets one."""
+        end = max(newest // 1000, timerValues.getCurrentWatermarkInMs()) + self.keep_ms
+        if not timed:
+            self.handle.registerTimer(end)
+        return end
+
+    def over(self, end: int, timerValues) -> bool:
+        """Whether the end is reached where a timer fires; else the timer is set to it."""
+        if end <= timerValues.getCurrentWatermarkInMs():
+            return True
+        self.handle.registerTimer(end)
+        return False
+
+
+_NEVER = -(1 << 62)
+
+
 class _Profiles(StatefulProcessor):
+    """State is one value, read once and written once a batch: each call to the state's store is a round trip."""
+
     def __init__(self, roles: tuple[str, ...], keep_ms: int) -> None:
         self.names, self.keep_ms = roles, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.roles = handle.getMapState("roles", "role string", "at bigint, seq bigint, value string")
-        self.reset = handle.getValueState("reset", "at bigint, seq bigint")
-        self.last = handle.getValueState("last", "at bigint, seq bigint, timer bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = {k[0]: tuple(v) for k, v in self.roles.iterator()}
-        old = dict(held)
-        reset = tuple(self.reset.get()) if self.reset.exists() else (-(1 << 62), 0)
-        last = tuple(self.last.get()) if self.last.exists() else (-(1 << 62), 0, 0)
-        newest, before = last[:2], reset
-        for frame in rows:
-            frame = frame.sort_values(["at", "seq"])
-            newest = max(newest, (int(frame["at"].iloc[-1]), int(frame["seq"].iloc[-1])))
-            if len(resets := frame[frame["action"] != "auto"]):
-                reset = max(reset, (int(resets["at"].iloc[-1]), int(resets["seq"].iloc[-1])))
-            for role in self.names:
-                if len(taught := frame[frame[role].notna()]):
-                    row = taught.iloc[-1]
-                    held[role] = max(held.get(role, (-(1 << 62), 0, "")), (int(row["at"]), int(row["seq"]), row[role]))
-        held = {k: v for k, v in held.items() if v[:2] >= reset}
-        for role in old.keys() - held.keys():
-            self.roles.removeKey((role,))
-        for role, value in held.items():
-            if old.get(role) != value:
-                self.roles.updateValue((role,), value)
-        if reset != before:
-            self.reset.update(reset)
-        timer = max(newest[0] // 1000, timerValues.getCurrentWatermarkInMs()) + self.keep_ms
-        if last[2] and last[2] != timer:
-            self.handle.deleteTimer(last[2])
-        if last[2] != timer:
-            self.handle.registerTimer(timer)
-        self.last.update((*newest, timer))
+        self.expiry = Expiry(handle, self.keep_ms)
+        taught = "".join(f", at{i} bigint, seq{i} bigint, value{i} string" for i in range(len(self.names)))
+        self.held = handle.getValueState("held", f"at bigint, seq bigint, ends bigint, reset_at bigint, reset_seq bigint{taught}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        old = self.held.get()
+        newest, reset = ((_NEVER, 0), (_NEVER, 0)) if old is None else (old[:2], old[3:5])
+        held = [None] * len(self.names) if old is None else [None if old[k] is None else old[k : k + 3] for k in range(5, len(old), 3)]
+        for row in rows:
+            order = (row["at"], row["seq"])
+            newest = max(newest, order)
+            if row["action"] != "auto":
+                reset = max(reset, order)
+            for i, name in enumerate(self.names):
+                if (value := row[name]) is not None and (held[i] is None or (*order, value) > held[i]):
+                    held[i] = (*order, value)
+        held = [None if x is None or x[:2] < reset else x for x in held]
+        ends = self.expiry.seen(newest[0], timerValues, old is not None)
+        self.held.update((*newest, ends, *reset, *[v for x in held for v in (x or (None, None, None))]))
         yield self._row(key, newest, held)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        newest = tuple(self.last.get())[:2]
-        for state in (self.roles, self.reset, self.last):
-            state.clear()
-        yield self._row(key, newest, {})
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        old = self.held.get()
+        if self.expiry.over(old[2], timerValues):
+            self.held.clear()
+            yield self._row(key, old[:2], [None] * len(self.names))
 
-    def _row(self, key, newest, held) -> pd.DataFrame:
-        return pd.DataFrame({"scope": [key[0]], "at": [newest[0]], "seq": [newest[1]], **{r: [held[r][2] if r in held else None] for r in self.names}, "gone": [not held]})
+    def _row(self, key, newest, held) -> Row:
+        return Row(**{"scope": key[0], "at": newest[0], "seq": newest[1], **{r: x and x[2] for r, x in zip(self.names, held)}, "gone": not any(held)})
 
     def close(self) -> None:
         pass
@@ -98,7 +108,7 @@ def profile_stream(events: DataFrame, roles: tuple[str, ...] = ("heading", "entr
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)  # the only one with maps and timers
     rows = events.withWatermark("at", late).select("scope", F.unix_micros("at").alias("at"), F.col("at").alias("_time"), F.col("seq").cast("bigint").alias("seq"), "action", *roles)
     schema = ", ".join(["scope string, at bigint, seq bigint", *[f"`{r}` string" for r in roles], "gone boolean"])
-    return rows.groupBy("scope").transformWithStateInPandas(_Profiles(roles, keep_days * _DAY_MS), schema, "Update", "EventTime")
+    return rows.groupBy("scope").transformWithState(_Profiles(roles, keep_days * _DAY_MS), schema, "Update", "EventTime")
 
 
 def profiles_of(events: DataFrame, roles: tuple[str, ...] = ("heading", "entry", "bullet", "body")) -> DataFrame:

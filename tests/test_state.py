@@ -180,6 +180,46 @@ def test_samples_of_a_copy_stream_teach_what_they_teach_in_a_table(spark, tmp_pa
     assert said(store.read()) == said(expected.select("scope", *[F.to_json(r).alias(r) for r in styles.ROLES]))
 
 
+class Held:
+    """A state of one value, with the calls to it; it is its own handle and clock."""
+
+    def __init__(self):
+        self.value, self.calls, self.clock = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+
+    def registerTimer(self, at):
+        self.calls.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.clock
+
+
+@pytest.mark.parametrize("processor, row", [(profiles._Profiles(("a",), 100), {"seq": 1, "action": "auto", "a": "x"}), (outcomes._Ring(5, 100), {"id": 1, "what": "x"})])
+def test_a_batch_reads_and_writes_the_state_of_a_key_once(processor, row):
+    held = Held()
+    processor.init(held)
+    for ms in (0, 50):  # the timer is set once, and moved when it fires
+        assert [r["gone"] for r in processor.handleInputRows(("k",), iter([row | {"at": ms * 1000}] * 3), held)] == [False]
+    assert held.calls == ["get", 100, "update", "get", "update"]
+    held.clock = 120
+    assert list(processor.handleExpiredTimer(("k",), held, None)) == [] and held.calls[5:] == ["get", 150]
+    held.clock = 150
+    assert [r["gone"] for r in processor.handleExpiredTimer(("k",), held, None)] == [True] and held.calls[7:] == ["get", "clear"]
+
+
 # -- shortcuts and outcomes
 
 
