@@ -24,6 +24,8 @@ WEAK_MARKDOWN = (
     rf"(?m)^[ \t]*[-*+][ \t]+[^{SPACE}]",
     rf"(?m)^[ \t]*[0-9]{{1,3}}\.[ \t]+[^{SPACE}]",
 )
+#: What a text must hold for each of these to match.
+_WEAK_SIGNS = ("*", "_", "`", ">", None, None)
 #: Markup that tells an application apart, first match wins.
 HTML_ORIGINS = (
     (r"docs-internal-guid", "Google Docs"),
@@ -73,8 +75,9 @@ def markdown_signs(text: Column | str) -> tuple[Column, Column]:
     for pattern in STRONG_MARKDOWN:
         strong = strong | c.rlike(pattern)
     weak = F.lit(0)
-    for pattern in WEAK_MARKDOWN:
-        weak = weak + c.rlike(pattern).cast("int")
+    for sign, pattern in zip(_WEAK_SIGNS, WEAK_MARKDOWN):  # a text without the sign never meets the pattern
+        found = c.rlike(pattern) if sign is None else F.contains(c, F.lit(sign)) & c.rlike(pattern)
+        weak = weak + found.cast("int")
     return strong, weak
 
 
@@ -105,9 +108,10 @@ def has_visible_text(html: Column) -> Column:
     return F.replace(F.concat(F.regexp_replace(tagged, r"<[^>]*>", ""), rest), F.lit("&nbsp;"), F.lit("")).rlike(rf"[^{SPACE}]")
 
 
-def chunks_of(text: Column) -> Column:
-    """Arrays of trimmed lines between blank lines."""
-    return F.transform(F.split(text, rf"\n[{SPACE}]*\n", -1), lambda chunk: F.transform(F.split(chunk, "\n", -1), trim_space))
+def chunks_of(text: Column, least: int = 1) -> Column:
+    """Arrays of trimmed lines between blank lines, of at least so many lines each."""
+    chunks = F.transform(F.split(text, rf"\n[{SPACE}]*\n", -1), lambda chunk: F.split(chunk, "\n", -1))
+    return F.transform(F.filter(chunks, lambda c: F.size(c) >= least) if least > 1 else chunks, lambda c: F.transform(c, trim_space))
 
 
 def detect_source(html: Column | str, text: Column | str) -> Column:
@@ -117,7 +121,7 @@ def detect_source(html: Column | str, text: Column | str) -> Column:
     markdown = looks_like_markdown(t)
     takes_html = has_visible_text(h) & (h.rlike(MEANINGFUL_TAG) | is_blank(t) | ~markdown)
     rows = F.size(F.filter(F.split(t, "\n", -1), is_tab_row))  # a carriage return is white space
-    measured = F.transform(F.filter(chunks_of(t), lambda c: F.size(c) >= 3), lambda c: F.struct(c.alias("l"), F.array_max(F.transform(c, F.length)).alias("m")))
+    measured = F.transform(chunks_of(t, 3), lambda c: F.struct(c.alias("l"), F.array_max(F.transform(c, F.length)).alias("m")))
     wrapped = F.exists(measured, lambda c: is_hard_wrapped(c["l"], c["m"]))
 
     def found(kind: str, label: Column | str) -> Column:

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from quillon import queries as clipboard
 from quillon.functions import detect, links, text
 from quillon.operators import lines, linescan, markup, relational, styles, tables
 from quillon.plans.transform import transform
@@ -207,3 +208,18 @@ def test_partitions_grow_with_the_payloads(spark):
     parts = {int(n) for n in re.findall(r"hashpartitioning\(key#\d+L, (\d+)\)", plan)}
     assert partitions_of(rows, "html", "text") == 9 and parts == {9}  # 8.8 million bytes; the session's own number is 4
     assert partitions_of(rows.limit(0), "text") == 4
+
+
+def test_long_runs_of_spaces_are_trimmed_past_in_one_pass(spark):
+    """A pattern that looks for spaces at the end looks at each run inside again from each of its spaces."""
+    from time import perf_counter
+
+    texts = [" 　x" + " " * 200_000 + "y\n﻿", " " * 200_000, "", None]
+    began = perf_counter()
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(text.trim_space("t").alias("t")).collect()
+    assert [r["t"] for r in rows] == ["x" + " " * 200_000 + "y", "", "", None] and perf_counter() - began < 20
+
+
+def test_a_source_is_found_once_for_its_kind_and_label(spark, sf_dir):
+    plan = clipboard.q_detect_source(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("PDF text") == 1
