@@ -52,6 +52,8 @@ STEP = 1 << 18
 LIST = 1 << 17
 #: Words whose moves are weighed at a time.
 BLOCK = 512
+#: Groups that words are dealt out to with their neighbours; each group puts its words' counts together.
+GROUPS = 4096
 #: Codes of classes beside the ordinary ones: the end of a text, and words without a class.
 END, NONE, ALL = CLASSES, CLASSES + 1, CLASSES + 2
 END_HASH = xxhash.xxh64_intdigest(b"\n")  # no word contains white space
@@ -104,44 +106,99 @@ class Words:
         self.size = len(h)
         order = np.argsort(np.append(h, END_HASH), kind="stable")
         self.keys, self.ids = np.append(h, np.uint64(END_HASH))[order], order.astype(np.int32)
+        # Hashes are spread evenly, so about one key begins with the same leading bits.
+        bits = max(1, self.size.bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         found = np.empty(len(h), np.int32)
         for at in range(0, len(h), STEP):
             part = h[at : at + STEP]
-            near = np.minimum(np.searchsorted(self.keys, part), self.size)
+            near = np.minimum(self.first[(part >> self.shift).astype(np.intp)], self.size)
+            late = np.flatnonzero(self.keys[near] < part)
+            while len(late):
+                late = late[near[late] < self.size]
+                near[late] += 1
+                late = late[self.keys[near[late]] < part[late]]
             found[at : at + STEP] = np.where(self.keys[near] == part, self.ids[near], np.int32(self.size + 1))
         return found
 
 
+def _bytes(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Stretches of an array as binary values."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _values(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All binary values of a column as one array, and how long each is."""
+    if not len(column):
+        return np.empty(0, kind), np.empty(0, np.int64)
+    _, offsets, held = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    held = np.frombuffer(held, np.uint8) if held is not None else np.empty(0, np.uint8)
+    return held[offsets[0] : offsets[-1]].view(kind), np.diff(offsets) // np.dtype(kind).itemsize
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where stretches of equal values begin, and the end of the last."""
+    return np.append(np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)]), len(values))
+
+
 def neighbours(texts: DataFrame, words: Words, frequent: int = 0) -> DataFrame:
-    """``w, v, n``: each word with arrays of its neighbours and how often they meet; ``-1 - v`` stands for ``v`` on the left.
+    """``w, v, n``: each word with its neighbours and how often they meet; ``-1 - v`` stands for ``v`` on the left.
 
     The end and the other words have right neighbours only. The ``frequent`` first words, the end and the other words have
-    several rows, with part of their neighbours each, so that an array has some ``LIST`` entries whatever the corpus.
+    several rows, with part of their neighbours each, so that a row has some ``LIST`` entries whatever the corpus.
+
+    ``v`` are 32-bit integers and ``n`` doubles, in a row as bytes: sweeps read them many times. Tasks fold what they read and
+    deal it out to ``GROUPS`` by word (and part) in one exchange, a row a group.
     """
     shared = texts.sparkSession.sparkContext.broadcast(words)
+    parts = max(1, -(-2 * (words.size + 2) // LIST))
+    bits = (words.size + 1).bit_length()  # 5 million words take 23: a group, a word and a neighbour are one 64-bit integer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
-        width = words.size + 2
+        low = (1 << bits) - 1
         for tokens in _runs(batches):
             ids = words(tokens)
-            code = ids[:-1].astype(np.int64)
-            code *= width
-            code += ids[1:]
-            del ids, tokens
-            code, n = _counted(code)
-            yield pa.RecordBatch.from_arrays([pa.array((code // width).astype(np.int32)), pa.array((code % width).astype(np.int32)), pa.array(n)], names=["l", "r", "n"])
-
-    # Tasks have folded their pairs already, so these are exchanged as they are.
-    pairs = arrow_pass(texts.select("_text"), run, "l int, r int, n bigint").repartition("l", "r").groupBy("l", "r").agg(F.sum("n").alias("n"))
-    right = F.struct(F.col("l").alias("w"), F.col("r").alias("v"))
-    left = F.struct(F.col("r").alias("w"), (-1 - F.col("l")).alias("v"))
-    sides = pairs.select(F.explode(F.when(F.col("r") < words.size, F.array(right, left)).otherwise(F.array(right))).alias("s"), "n")
-    parts = max(1, -(-2 * (words.size + 2) // LIST))
-    part = F.when((F.col("s.w") < frequent) | (F.col("s.w") >= words.size), F.pmod(F.hash("s.v"), F.lit(parts))).otherwise(0)
-    return sides.groupBy("s.w", part.alias("part")).agg(F.collect_list("s.v").alias("v"), F.collect_list("n").alias("n")).drop("part")
+            del tokens
+            for on_left in (False, True):
+                w, v = (ids[1:], ids[:-1]) if on_left else (ids[:-1], ids[1:])
+                if on_left:
+                    own = w < words.size
+                    w, v = w[own], v[own]
+                several = (w < frequent) | (w >= words.size)
+                group = w.astype(np.int64)
+                group[several] += 61 * ((v[several].astype(np.int64) * 40503 >> 4) % parts)  # parts of one word go to different groups
+                code = group % GROUPS
+                code <<= bits
+                code |= w
+                code <<= bits
+                code |= v
+                del group, w, v
+                code, n = _counted(code)
+                ends = _starts(code >> (2 * bits))
+                v = (code & low).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((code[ends[:-1]] >> (2 * bits)).astype(np.int32)), _bytes((code >> bits & low).astype(np.int32), ends), _bytes(-1 - v if on_left else v, ends), _bytes(n.astype(np.int32), ends)],
+                    names=["g", "w", "v", "n"],
+                )
+
+    def whole(group: pa.Table) -> pa.Table:
+        w, v, n = (np.frombuffer(b"".join(group.column(c).to_pylist()), np.int32) for c in "wvn")
+        code = (w.astype(np.int64) << 32) + v
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        at = _starts(code)[:-1]
+        code, n = code[at], np.add.reduceat(n[order].astype(float), at)
+        w = (code + (1 << 31)) >> 32
+        ends = _starts(w)
+        return pa.table({"w": pa.array(w[ends[:-1]].astype(np.int32)), "v": _bytes((code - (w << 32)).astype(np.int32), ends), "n": _bytes(n, ends)})
+
+    met = arrow_pass(texts.select("_text"), run, "g int, w binary, v binary, n binary")
+    return met.groupBy("g").applyInArrow(whole, "w int, v binary, n binary")
 
 
 def _x_log_x(x: np.ndarray) -> np.ndarray:
@@ -229,16 +286,28 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
-def _sides(part: pa.RecordBatch, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _lists(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a batch of ``neighbours``, how many neighbours each has, these, and their counts."""
+    v, size = _values(part.column("v"), np.int32)
+    return part.column("w").to_numpy(), size, v, _values(part.column("n"), np.float64)[0]
+
+
+def _side_codes(of: np.ndarray) -> np.ndarray:
+    """Classes by neighbour; those on the left, which count from the end of the array, have numbers of their own."""
+    return np.concatenate([of, of[::-1] + np.uint8(ALL)])
+
+
+def _sides(part: pa.RecordBatch, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of a batch of ``neighbours``, with the counts of their neighbours' classes on the left and right, and their own."""
-    w = part.column("w").to_numpy()
-    lists = part.column("v")
-    row = np.repeat(np.arange(len(w)), np.diff(lists.offsets.to_numpy()))
-    v, n = lists.flatten().to_numpy(), part.column("n").flatten().to_numpy().astype(float)
-    left = v < 0
-    same = np.where(left, -1 - v, v) == w[row]
-    counts = np.bincount((row * 2 + left) * ALL + of[np.where(left, -1 - v, v)], np.where(same, 0.0, n), len(w) * 2 * ALL).reshape(-1, 2, ALL)
-    own = np.bincount(row[same & ~left], n[same & ~left], len(w))
+    w, size, v, n = _lists(part)
+    cell = np.repeat(np.arange(len(w)) * (2 * ALL), size)
+    cell += codes[v]
+    counts = np.bincount(cell, n, len(w) * 2 * ALL)
+    same = np.flatnonzero((v ^ (v >> 31)) == np.repeat(w, size))
+    np.subtract.at(counts, cell[same], n[same])
+    same = same[v[same] >= 0]
+    own = np.bincount(cell[same] // (2 * ALL), n[same], len(w))
+    counts = counts.reshape(-1, 2, ALL)
     return w, counts[:, 1], counts[:, 0], own
 
 
@@ -247,12 +316,12 @@ def class_pairs(near: DataFrame, of: np.ndarray) -> np.ndarray:
     shared = near.sparkSession.sparkContext.broadcast(of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, total = shared.value, np.zeros((ALL, ALL))
+        of, total = shared.value, np.zeros(ALL * 2 * ALL)
+        codes, rows = _side_codes(of), of.astype(np.int64) * (2 * ALL)
         for part in batches:
-            w, _, out, own = _sides(part, of)
-            np.add.at(total, of[w], out)
-            np.add.at(total, (of[w], of[w]), own)
-        yield _cells(total)
+            w, size, v, n = _lists(part)
+            total += np.bincount(np.repeat(rows[w], size) + codes[v], n, len(total))
+        yield _cells(total.reshape(ALL, 2, ALL)[:, 0])
 
     return _matrix(arrow_pass(near, run, "pair int, n double"))
 
@@ -285,12 +354,14 @@ def moves(near: DataFrame, words: int, of: np.ndarray, joint: np.ndarray, every:
         return pa.RecordBatch.from_arrays([pa.array(w[mine][new].astype(np.int32)), pa.array(found[new].astype(np.int16))], names=["w", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _side_codes(shared.value[0])
         for part in batches:
-            yield moved(*_sides(part, shared.value[0]))
+            yield moved(*_sides(part, codes))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _side_codes(shared.value[0])
         for part in batches:
-            w, into, out, own = _sides(part, shared.value[0])
+            w, into, out, own = _sides(part, codes)
             cells = np.hstack([into, out, own[:, None]])
             row, cell = np.nonzero(cells)
             yield pa.RecordBatch.from_arrays([pa.array(w[row]), pa.array(cell.astype(np.int32)), pa.array(cells[row, cell])], names=["w", "cell", "n"])
@@ -330,10 +401,15 @@ def _seeds(near: DataFrame, words: int) -> np.ndarray:
     of[words] = END
     few = min(SEEDS, words)
     if few:
-        named = lambda c: F.when(F.col(c) == words, few).otherwise(F.col(c)).alias(c)
-        rows = near.where((F.col("w") < few) | (F.col("w") == words)).select("w", F.inline(F.arrays_zip("v", "n")))
-        rows = rows.where(((F.col("v") >= 0) & (F.col("v") < few)) | (F.col("v") == words)).select(named("w"), named("v"), "n")
-        rows = _pandas(rows)
+
+        def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                w, size, v, n = _lists(part)
+                mine = ((v >= 0) & (v < few)) | (v == words)
+                w, v = np.repeat(w, size)[mine], v[mine]
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(x == words, few, x).astype(np.int32)) for x in (w, v)] + [pa.array(n[mine])], names=["w", "v", "n"])
+
+        rows = _pandas(arrow_pass(near.where((F.col("w") < few) | (F.col("w") == words)), among, "w int, v int, n double"))
         pairs = np.zeros((few + 1, few + 1))
         pairs[rows["w"].to_numpy(), rows["v"].to_numpy()] = rows["n"].to_numpy()
         of[:few] = exchange(pairs)[:few]
@@ -463,10 +539,6 @@ def _batch(rows: int, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in _CHAIN], schema=_CHAIN)
 
 
-def _bytes(codes: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(codes)])
-
-
 def chains(docs: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
     """``doc_id, train, chain, n_known, base, share`` of every text: its tokens' classes, a byte each, and sums of logs.
 
@@ -518,9 +590,9 @@ def chains(docs: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
             if not part.num_rows:
                 continue
             rows, lists = part.num_rows, part.column("rare")
-            size = np.array([len(x) for x in part.column("chain").to_pylist()], np.int64)
+            codes, size = _values(part.column("chain"), np.uint8)
+            size, codes = size.astype(np.int64), codes.copy()
             starts = np.cumsum(size) - size
-            codes = np.frombuffer(b"".join(part.column("chain").to_pylist()), np.uint8).copy()
             spots, n, c = lists.flatten().flatten()
             text = np.repeat(np.arange(rows), np.diff(lists.offsets.to_numpy()))
             times, n, c = np.diff(spots.offsets.to_numpy()), n.to_numpy().astype(float), c.to_numpy()
@@ -540,9 +612,8 @@ def chain_pairs(rows: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ALL * ALL)
         for part in batches:
-            for chain in part.column("chain").to_pylist():
-                codes = np.frombuffer(bytes([END]) + chain, np.uint8).astype(np.int64)
-                total += np.bincount(codes[:-1] * ALL + codes[1:], minlength=ALL * ALL)
+            codes = np.append(np.uint8(END), _values(part.column("chain"), np.uint8)[0]).astype(np.int64)  # each chain ends with an end
+            total += np.bincount(codes[:-1] * ALL + codes[1:], minlength=ALL * ALL)
         yield _cells(total)
 
     return _matrix(arrow_pass(rows.select("chain"), run, "pair int, n double"))
@@ -559,10 +630,11 @@ def score(docs: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = shared.value
         for part in batches:
-            found = np.zeros(part.num_rows)
-            for i, chain in enumerate(part.column("chain").to_pylist()):
-                codes = np.frombuffer(bytes([END]) + chain, np.uint8)
-                found[i] = logs[codes[:-1], codes[1:]].sum()
+            if not part.num_rows:
+                continue
+            codes, size = _values(part.column("chain"), np.uint8)
+            codes = np.append(np.uint8(END), codes)
+            found = np.add.reduceat(logs[codes[:-1], codes[1:]], np.cumsum(size) - size)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], names=[*part.schema.names, "links"])
 
     fields = "doc_id bigint, train boolean, chain binary, n_known bigint, base double, share double, links double"

@@ -419,6 +419,39 @@ def test_sweeps_find_the_classes(monkeypatch, spark):
     assert mixed <= 8
 
 
+def test_neighbours_meet_in_one_exchange(monkeypatch, spark):
+    """Neighbours of words, on both sides, against plain counting; tasks' counts are exchanged once, packed."""
+    monkeypatch.setattr(classlm, "GROUPS", 7)
+    texts = [b"a b a a c", b"b a b", b"", b"c x a y", b"a a a", b"A  b\n"] * 3
+    words = classlm.Words(np.array([xxhash.xxh64_intdigest(w) for w in (b"a", b"b", b"c")], np.uint64))
+    near = classlm.neighbours(spark.createDataFrame([(bytearray(t),) for t in texts], "_text binary").repartition(3), words, 1)
+    want, number = Counter(), {b"a": 0, b"b": 1, b"c": 2}
+    for t in texts:
+        ids = [3, *(number.get(w, 4) for w in t.lower().split()), 3]
+        for a, b in zip(ids, ids[1:]):
+            want[a, b] += 1
+            if b < 3:
+                want[b, -1 - a] += 1
+    found = Counter()
+    for r in near.collect():
+        for v, n in zip(np.frombuffer(r["v"], np.int32).tolist(), np.frombuffer(r["n"], np.float64).tolist()):
+            assert (r["w"], v) not in found
+            found[r["w"], v] = n
+    assert found == want
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and "Aggregate" not in plan and "RepartitionByExpression" not in plan
+
+
+def test_words_are_found_by_leading_bits():
+    rng = np.random.default_rng(5)
+    h = np.unique(np.concatenate([rng.integers(0, 1 << 64, 3000, np.uint64), np.arange(500, dtype=np.uint64), np.arange(500, dtype=np.uint64) + np.uint64((1 << 64) - 500)]))
+    rng.shuffle(h)
+    words = classlm.Words(h)
+    other = np.setdiff1d(np.concatenate([rng.integers(0, 1 << 64, 3000, np.uint64), np.array([700, (1 << 64) - 600], np.uint64)]), h)
+    assert np.array_equal(words(h), np.arange(len(h))) and (words(other) == len(h) + 1).all() and words(np.array([classlm.END_HASH], np.uint64)).tolist() == [len(h)]
+    assert classlm.Words(np.empty(0, np.uint64))(np.array([classlm.END_HASH, 0, (1 << 64) - 1], np.uint64)).tolist() == [0, 1, 1]
+
+
 def test_exchange_raises_likelihood():
     rng = np.random.default_rng(3)
     pairs = np.zeros((21, 21))
