@@ -16,6 +16,7 @@ from quillon.dimensions import DESTINATIONS
 from quillon.functions.detect import CLEANED_MARKER, skip_reason
 from quillon.functions.feedback import feedback
 from quillon.plans.transform import fixes, transform
+from quillon.sources.tables import partitions_of
 
 from .store import Store
 
@@ -56,7 +57,9 @@ def _cleaned(batch: DataFrame, held: DataFrame, version: int) -> DataFrame:
     done = transform(payloads, *names).where(F.col("id.destination") == F.col("destination")).select(
         F.col("id.paste_id").alias("paste_id"), F.col("ok"), F.col("changed"), F.col("html").alias("new_html"), F.col("text").alias("new_text"), "notes"
     )
-    full = early.join(done, "paste_id", "left")
+    # pastes meet their results in as many partitions as these were made in, whatever the batch's size
+    parts = partitions_of(batch, "html", "text")
+    full = early.repartition(parts, "paste_id").join(done.repartition(parts, "paste_id"), "paste_id", "left")
     late = F.when(F.col("early").isNotNull(), F.col("early")).when(~F.coalesce("ok", F.lit(False)), "transform-failed").when(~F.col("changed"), "nothing-to-fix")
     full = full.withColumn("reason", late)
     label = F.element_at(F.create_map(*[F.lit(x) for d in DESTINATIONS for x in d[:2]]), F.col("destination"))

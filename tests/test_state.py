@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.inline import inline_html, inline_nodes
 from quillon.operators import styles
+from quillon.sources import tables
 from quillon.streaming import outcomes, pastes, profiles, shortcuts
 from quillon.streaming.store import Store
 
@@ -292,6 +293,16 @@ def test_live_pastes_meet_the_settings_of_their_batch(spark, tmp_path):
     assert sorted(map(str, pastes.results(spark, out).collect())) == before
 
 
+def test_large_batches_of_pastes_are_joined_in_more_partitions(monkeypatch, spark):
+    rows = spark.createDataFrame([(i, i % 3, None, f"a  {i}", None, 500 if i % 5 == 0 else None) for i in range(60)], PASTES)
+    held = spark.createDataFrame([(0, True, "plain"), (1, False, None)], "user_id bigint, enabled boolean, destination string")
+    monkeypatch.setattr(tables, "DEALT", 2048)
+    cleaned = pastes._cleaned(rows, held, 0)
+    assert cleaned.rdd.getNumPartitions() == tables.partitions_of(rows, "html", "text") == 8
+    found = {r["paste_id"]: (r["reason"], r["text"]) for r in cleaned.collect()}
+    assert found == {i: ("disabled", f"a  {i}") if i % 3 == 1 else ("plain-paste-shortcut", f"a  {i}") if i % 5 == 0 else (None, f"a {i}") for i in range(60)}
+
+
 def test_items_become_one_payload(spark):
     items = [(1, 2, "<p>b</p>", "b"), (1, 1, None, "a"), (1, 3, "<p>c</p>", None), (2, 1, None, None), (None, 1, "x", "y"), (1, 1, None, "a")]
     found = pastes.clipboard_items(spark.createDataFrame(items, "id bigint, position int, html string, text string"), "id").collect()
