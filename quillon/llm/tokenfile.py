@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, cut, shared_path, slices
+from .common import BATCH_ROWS, arrow_pass, cut, shared_path, slices
 from .tokens import encoder
 
 MAGIC = b"QPFOR\x00\x01\n"
@@ -187,7 +187,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> Data
             _store(folder, name, pack(np.frombuffer(b"".join(raw), "<u4"), ids, lengths))
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "file": [name], "n_ids": [held]}, schema=_MANIFEST)
 
-        for batch in slices(batches):
+        for batch in slices(batches, BATCH_ROWS):
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), encode([x or "" for x in batch.column("text").to_pylist()])):
                 found += end
                 raw.append(found)

@@ -72,6 +72,19 @@ def test_encoder_equals_library(name, docs):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_encoder_merges_a_word_once_whatever_marks_follow(name):
+    own, library = tokens.Encoder(tokenizer_path(name)), Tokenizer.from_file(tokenizer_path(name))
+    merged, asked, merge, ids = [], [], own._merge, own.ids
+    own._merge = lambda piece: merged.append(piece) or merge(piece)
+    own.ids = lambda texts: asked.extend(texts) or ids(texts)
+    texts = ["A quéstion, quéstion... and quéstion*** or quéstion", "B quéstion$$$ quéstion! quéstion (quéstion) quéstion's 'quéstion', œuvre, œuvre.' '", "C quéstion" + "." * 40 + " x"]
+    found = [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] + [np.frombuffer(own.encode(x), "<u4").tolist() for x in texts]
+    assert found == [library.encode(x, add_special_tokens=False).ids for x in texts] * 2
+    assert sum("stion" in piece for piece in merged) == 1
+    assert not any(x.strip().rstrip(".,*$!") == "quéstion" for x in asked if len(x) < 20)
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 5000])
 def test_token_file_bytes(n):
     rng = np.random.default_rng(n)
