@@ -3,14 +3,16 @@
 import datetime
 import json
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillon import queries as clipboard
 from quillon.functions import detect, links, text
-from quillon.operators import lines, linescan, markup, relational, styles, tables
-from quillon.plans.transform import transform
+from quillon.operators import lines, linescan, markup, relational, runs, styles, tables
+from quillon.operators.units import scanned
+from quillon.plans.transform import _scan, sources, transform
 from quillon.sources.tables import partitions_of
 from quillon.streaming.attribution import attribute_stream
 
@@ -223,3 +225,13 @@ def test_long_runs_of_spaces_are_trimmed_past_in_one_pass(spark):
 def test_a_source_is_found_once_for_its_kind_and_label(spark, sf_dir):
     plan = clipboard.q_detect_source(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("PDF text") == 1
+
+
+def test_marks_of_a_line_are_parsed_once(spark):
+    text = "Is **A** and `b`\n\n# \n\n- see [it](https://x.org/)"
+    payloads = spark.createDataFrame([("1", None, text)], "id string, html string, text string")
+    marked = runs._marked(runs.joined(scanned(sources(payloads), _scan, ("lines", "html", "markdown"), "info").repartition(2, "key")))
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Filter .*size\(CASE WHEN", plan)  # no filter below the rows of runs that parses them all once more
+    found = Counter((r["kind"], r["text"], r["bold"], r["code"], r["href"]) for r in marked.collect() if r["text"])
+    assert {("text", "A", True, False, None), ("text", "b", False, True, None), ("list", "it", False, False, "https://x.org/")} <= set(found) and set(found.values()) == {1}
